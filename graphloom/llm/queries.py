@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact_dedup, mixing, packing, url_filter
+from graphloom.llm import exact_dedup, media, mixing, packing, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_packing": packing.op3_packing,
+    "op4_warc": warc.op4_warc,
     "op7_mixing": mixing.op7_mixing,
+    "op10_media_columns": media.op10_media_columns,
 }
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op2_url_filter": url_filter.OP2_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
