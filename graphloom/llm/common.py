@@ -90,3 +90,17 @@ def heavy(counts: DataFrame, n: str, total: int, parts: int = 1000) -> DataFrame
     At most ``parts`` rows can be, whatever the size of the data: small enough to broadcast.
     """
     return counts.where(F.col(n) * parts > total)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread: str, salts: int = 64) -> DataFrame:
+    """left inner join right on key, where right has a key once and left may have hot ones.
+
+    hot(key) is a list of bounded length (see ``heavy``). Rows of a hot key are dealt to ``salts``
+    tasks by a hash of the column ``spread``; right's row of it is repeated as often.
+    """
+    hot = F.broadcast(hot.select(key, F.lit(True).alias("__gl_hot")))
+    many = F.when(F.col("__gl_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(F.col("__gl_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    left = left.join(hot, key, "left").withColumn("__gl_salt", salt).drop("__gl_hot")
+    right = right.join(hot, key, "left").withColumn("__gl_salt", F.explode(many)).drop("__gl_hot")
+    return left.join(right, [key, "__gl_salt"]).drop("__gl_salt")
