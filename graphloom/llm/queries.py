@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import exact_dedup, line_dedup, media, mixing, near_dup, packing, toxicity, url_filter, warc
+from graphloom.llm import exact_dedup, line_dedup, media, mixing, near_dup, packing, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_dup": near_dup.op6_near_dup,
     "op7_mixing": mixing.op7_mixing,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_media_columns": media.op10_media_columns,
 }
 
