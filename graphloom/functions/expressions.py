@@ -112,7 +112,7 @@ class ExpressionCompiler:
         """Numbers by value, texts by their characters, other terms for equality alone."""
         act = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}[op]
         does = lambda x, y: getattr(x, act)(y)
-        if "num" in (a.kind, b.kind) or "int" in (a.kind, b.kind):
+        if {"num", "int"} & {a.kind, b.kind} or _typed_number(a.const) or _typed_number(b.const):
             return does(self.number(a), self.number(b))
         if "bool" in (a.kind, b.kind):
             return does(self.truth(a), self.truth(b))
@@ -232,6 +232,11 @@ class ExpressionCompiler:
         return Value("num", -self.number(v))
 
 
+def _typed_number(term: T.Term | None) -> bool:
+    """A number written as such: comparing it with anything but a number is an error."""
+    return isinstance(term, T.Literal) and (term.datatype or "").removeprefix(T.XSD) in ("integer", "decimal", "double", "float", "int", "long")
+
+
 def _numeric(term: T.Term) -> bool:
     if not isinstance(term, T.Literal) or term.lang:
         return False
