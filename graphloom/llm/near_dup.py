@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, heavy, join_hot, table
@@ -19,8 +19,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 3
 #: Document frequencies are counted by hash bucket, so the table that tasks need has one size for any corpus.
 DF_BITS = 18
-#: Pairs whose samples agree less than this aren't verified: four standard deviations below 0.8.
-LEAST_AGREEMENT = 0.55
+#: Pairs whose samples agree less than this (24 of 42) aren't verified: over three and a half standard deviations below 0.8.
+LEAST_AGREEMENT = 0.57
 _POOL = 2**16
 _CHUNK = 32_768
 _SIG = BANDS * ROWS
@@ -252,8 +252,7 @@ def near_links(nodes: DataFrame, texts_of, idf: np.ndarray) -> DataFrame:
 
     First every bucket's members are compared with its pivot. Members of buckets that still hold
     several components meet again in buckets of two bands at a time (texts of similarity 0.8
-    share under two bands with probability 7e-4). There, round by round, more and more members are
-    pivots for those of other components, until every pair of components has been compared.
+    share under two bands with probability 7e-4). There every pair across components is looked at.
     """
     keyed = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -268,56 +267,71 @@ def near_links(nodes: DataFrame, texts_of, idf: np.ndarray) -> DataFrame:
     links = cut(verify(pairs, texts, idf), "near-verified")
     compared = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    doubled, done, pivots_each = None, None, 4
-    while True:
-        comps = components(links)
-        if doubled is None:
-            doubled = cut(_two_band_buckets(_open_buckets(buckets, comps), nodes, scores), "near-doubled")
-        open_ = cut(_open_buckets(doubled, comps), "near-open")
-        pivots = cut(_next_pivots(open_, done, pivots_each), "near-next")
-        if not pivots.limit(1).count():
-            return links
-        pairs = open_.join(pivots.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp")), "key").where("comp <> b_comp")
-        pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        fresh = cut(pairs.join(compared, ["a", "b"], "left_anti"), "near-fresh")
-        wanted = cut(agreeing(fresh, sigs), "near-wanted")
-        ends = wanted.select(F.col("a").alias("node")).unionByName(wanted.select(F.col("b").alias("node"))).distinct()
-        more = verify(wanted, texts_of(ends), idf) if wanted.limit(1).count() else links.limit(0)
-        links = cut(links.unionByName(more), "near-links-so-far")
-        compared = cut(compared.unionByName(fresh), "near-compared")
-        used = pivots.select("key", "node")
-        done = cut(used if done is None else done.unionByName(used), "near-done")
-        pivots_each *= 4
-
-
-def _two_band_buckets(open_: DataFrame, nodes: DataFrame, scores: DataFrame) -> DataFrame:
-    """(key, node, score) of the nodes in open buckets, keyed by every two of their bands."""
-    left = open_.select("node").distinct().join(nodes.select("node", "bands"), "node").join(scores, "node")
-    firsts = F.sequence(F.lit(0), F.lit(BANDS - 2))
-    keys = F.flatten(F.transform(firsts, lambda i: F.transform(F.slice("bands", i + 2, F.lit(BANDS)), lambda b: F.xxhash64(F.get("bands", i), b, i))))
-    keyed = left.select("node", "score", F.explode(keys).alias("key"))
-    several = keyed.groupBy("key").count().where("count > 1").select("key")
-    return keyed.join(several, "key", "left_semi").select("key", "node", "score")
+    comps = components(links)
+    again = cut(_open_buckets(_two_band_buckets(_open_buckets(buckets, comps), nodes), comps), "near-open")
+    fresh = _across_components(again, sigs).join(compared, ["a", "b"], "left_anti")
+    fresh = cut(fresh, "near-fresh")
+    if not fresh.limit(1).count():
+        return links
+    ends = fresh.select(F.col("a").alias("node")).unionByName(fresh.select(F.col("b").alias("node"))).distinct()
+    more = verify(fresh, cut(texts_of(ends), "near-texts"), idf)
+    return cut(links.unionByName(more), "near-all-links")
 
 
-def _next_pivots(open_: DataFrame, done: DataFrame | None, n: int) -> DataFrame:
-    """(key, node, comp): up to n members of each open bucket that were no pivots yet.
+def _across_components(open_: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of different components in a bucket(key, node, comp) whose samples agree.
 
-    The bucket's largest component needs none: once all other members were pivots, every pair of
-    its components has been compared.
+    A task goes through its buckets one by one. Members outside the bucket's largest component are
+    compared with all members of other components, block by block, on 16 bits of each sample; only
+    pairs that agree leave the task.
     """
-    sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("m")).select("key", F.col("m.comp").alias("largest"))
-    left = open_.join(largest, "key").where("comp <> largest")
-    if done is not None:
-        left = left.join(done, ["key", "node"], "left_anti")
-    order = Window.partitionBy("key").orderBy(F.col("score").desc(), "node")
-    return left.withColumn("__gl_n", F.row_number().over(order)).where(F.col("__gl_n") <= n).select("key", "node", "comp")
+    rows = open_.join(sigs, "node").select("key", "node", "comp", "sig").repartition("key").sortWithinPartitions("key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        now = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            node, comp = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
+            sig = np.frombuffer(b"".join(x[2] for x in held), np.uint32).reshape(-1, _SIG).astype(np.uint16)
+            values, sizes = np.unique(comp, return_counts=True)
+            others = np.flatnonzero(comp != values[sizes.argmax()])
+            first = np.ones(len(node), bool)
+            first[others] = False  # pairs of two others are found from both sides: keep one
+            step = max(1, 250_000 // len(node))
+            for i in range(0, len(others), step):
+                o = others[i : i + step]
+                agree = (sig[o][:, None, :] == sig[None, :, :]).mean(2) >= LEAST_AGREEMENT
+                agree &= (comp[o][:, None] != comp[None, :]) & (first[None, :] | (node[o][:, None] < node[None, :]))
+                x, y = np.nonzero(agree)
+                if len(x):
+                    a, b = node[o[x]], node[y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if len(held) > 1:
+                        yield from flush()
+                    held, now = [], key
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield from flush()
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _two_band_buckets(open_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node) of the nodes in open buckets, keyed by every two of their bands."""
+    left = open_.select("node").distinct().join(nodes.select("node", "bands"), "node")
+    firsts = F.sequence(F.lit(0), F.lit(BANDS - 2))
+    keys = F.flatten(F.transform(firsts, lambda i: F.transform(F.slice("bands", i + 2, F.lit(BANDS)), lambda b: F.xxhash64(F.get("bands", i), b, i))))
+    return left.select("node", F.explode(keys).alias("key"))
 
 
 def _open_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """buckets(key, node, score) with comp, those that hold more than one component."""
-    known = buckets.select("key", "node", "score").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    """buckets(key, node) with comp, those that hold more than one component."""
+    known = buckets.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     return known.join(several, "key", "left_semi")
 
