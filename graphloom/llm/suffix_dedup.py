@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,10 +142,19 @@ def _cells(h: np.ndarray, cells: int) -> Iterator[np.ndarray]:
         yield ((h * _U(0x9FB21C651E98DF25 + 2 * i) >> _U(20)) & _U(cells - 1)).astype(np.int64)
 
 
-def _bits(at: np.ndarray, size: int) -> bytes:
-    flags = np.zeros(size, bool)
-    flags[at] = True
-    return zlib.compress(np.packbits(flags), 1)
+def _spread(h: np.ndarray) -> np.ndarray:
+    """An even order of anchors: their own hashes are the least of their windows, so all are small."""
+    x = (h ^ (h >> _U(31))) * _U(0x94D049BB133111EB)
+    return (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of whole numbers, all first bytes, all second bytes and so on, which the exchange compresses well."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes) -> list[int]:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel().tolist()
 
 
 def repeated_anchors(rows: DataFrame, cells: int) -> bytes:
@@ -250,7 +260,7 @@ def sorted_runs(rows: DataFrame, repeated: bytes, cells: int, ranges_bits: int)
             at, first, last, h = at[suspect], first[suspect], last[suspect], h[suspect]
             owner = np.searchsorted(starts, first, "right") - 1
             place = (at - starts[owner]).tolist()
-            head = h.astype(">u8").tobytes()
+            head = _spread(h).astype(">u8").tobytes()
             for i, (o, m, p, q, x) in enumerate(zip(owner.tolist(), at.tolist(), first.tolist(), (last + LENGTH).tolist(), place, strict=True)):
                 doc, tag, offset = keys[o]
                 held.append((head[8 * i : 8 * i + 8] + raw[m:q] + raw[p:m][::-1], q - m, doc, tag, x + offset))
@@ -271,7 +281,7 @@ def sorted_runs(rows: DataFrame, repeated: bytes, cells: int, ranges_bits: int)
                 kept.append(x)
         if spans:
             columns = [pa.array(c, pa.int64()) for c in zip(*spans, strict=True)]
-            columns += [pa.nulls(len(spans), t) for t in _RUN_TYPES[4:]]
+            columns += [pa.array([x[0] % 2**ranges_bits for x in spans], pa.int64()), *(pa.nulls(len(spans), t) for t in _RUN_TYPES[5:])]
             yield pa.RecordBatch.from_arrays(columns, names=_RUN_NAMES)
         keys = [x[0] for x in kept]
         lcp = front_code(keys)
@@ -284,7 +294,7 @@ def sorted_runs(rows: DataFrame, repeated: bytes, cells: int, ranges_bits: int)
         out = []
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True):
             rest = b"".join(keys[i][starts[i] :] for i in range(a, b))
-            arrays = (lcp[a:b].astype(np.uint8), size[a:b], right[a:b], rest, docs[a:b], tags[a:b], places[a:b])
+            arrays = (lcp[a:b].astype(np.uint8), size[a:b], right[a:b], rest, *(_planes(x[a:b]) for x in (docs, tags, places)))
             out.append((None, None, None, None, int(part[a]), *(x if isinstance(x, bytes) else x.tobytes() for x in arrays)))
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _RUN_TYPES, strict=True)]
         yield pa.RecordBatch.from_arrays(columns, names=_RUN_NAMES)
@@ -301,7 +311,7 @@ def _whole(x: tuple[bytes, int, int, int, int]) -> tuple[int, int, int, int]:
 def _decode(block: tuple[bytes, ...]) -> Iterator[tuple[int, tuple[bytes, int, int, int, int]]]:
     """(length shared with the one before, suffix) of a block."""
     lcp, size, right, rest, docs, tags, places = block
-    numbers = [np.frombuffer(x, np.int64).tolist() for x in (docs, tags, places)]
+    numbers = map(_from_planes, (docs, tags, places))
     key, at = b"", 0
     for k, n, r, doc, tag, place in zip(lcp, size, right, *numbers, strict=True):
         key = key[:k] + rest[at : at + n - k]
@@ -409,14 +419,16 @@ def repeated_windows(group: list[tuple[bytes, int, int, int, int]]) -> Iterator[
         yield doc, tag, base + p, base + q + LENGTH
 
 
-def merged_spans(runs: DataFrame, ranges: int) -> DataFrame:
-    """The stretches that the merged runs of every range show to be repeated."""
+def merged_spans(runs: DataFrame, tasks: int) -> DataFrame:
+    """The stretches that the merged runs of every range show to be repeated, and those that single runs have shown."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, list[tuple[bytes, ...]]] = {}
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(8)]
-            for part, *block in zip(*columns, strict=True):
+            known = pc.is_null(batch.column(5))
+            yield batch.filter(known).select([0, 1, 2, 3])
+            batch = batch.filter(pc.invert(known))
+            for part, *block in zip(*(batch.column(i).to_pylist() for i in range(4, 12)), strict=True):
                 blocks.setdefault(part, []).append(tuple(block))
         out: list[tuple[int, int, int, int]] = []
         for part in sorted(blocks):
@@ -451,8 +463,7 @@ def merged_spans(runs: DataFrame, ranges: int) -> DataFrame:
     def batch_of(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "tag", "low", "high"])
 
-    blocks = runs.where("part is not null").select("part", "lcp", "size", "right", "rest", "docs", "tags", "places")
-    return blocks.repartition(ranges, "part").mapInArrow(merge, SPANS)
+    return runs.repartition(tasks, "part").mapInArrow(merge, SPANS)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -471,10 +482,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if tagged:
         rows = rows.withColumn("tagged", F.lit(True))
     cells = min(MOST_CELLS, max(2**16, 1 << (CELLS * size // 32).bit_length()))
-    bits = max(0, min(20, (size // RANGE_BYTES).bit_length()))
+    # four ranges a task even out what a hash of few ranges would not
+    bits = 2 + max(0, min(18, (size // RANGE_BYTES).bit_length()))
     repeated = repeated_anchors(rows, cells)
-    runs = cut(sorted_runs(rows, repeated, cells, bits), "suffix-runs")
-    spans = merged_spans(runs, 2**bits).unionByName(runs.where("part is null").select("doc", "tag", "low", "high"))
+    spans = merged_spans(sorted_runs(rows, repeated, cells, bits), 2 ** (bits - 2))
     spans = cut(spans, "suffix-spans").groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     # the same tag as in _texts, which tells rows of one id apart
     tag = F.lit(0).cast("long")
