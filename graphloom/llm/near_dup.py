@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, heavy, join_hot, table
+from graphloom.llm.url_filter import HASHES, MOST_WORDS, bloom_words, passes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and samples a band: texts of similarity 0.8 share no band with probability (1 - 0.8**3)**14 = 4e-5.
@@ -24,10 +25,13 @@ LEAST_AGREEMENT = 0.57
 _POOL = 2**16
 _CHUNK = 32_768
 _SIG = BANDS * ROWS
+#: More samples of texts whose buckets stay open, and the least agreement of all 170: over three standard deviations below 0.8.
+MORE, LEAST_AGREEMENT_ALL = 128, 0.7
 
 _rng = np.random.RandomState(20_240_229)
 _ODD = _rng.randint(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 #: The variates r, ln c ~ Gamma(2, 1) and beta ~ U(0, 1) of an element and a sample are drawn from this pool by hash.
+_SEEDS = _rng.randint(0, 2**63, _SIG + MORE, dtype=np.uint64) | np.uint64(1)
 _GAMMA = _rng.gamma(2.0, 1.0, _POOL)
 _VARIATES = np.column_stack([_GAMMA, 1 / _GAMMA, np.log(_rng.gamma(2.0, 1.0, _POOL)), _rng.random_sample(_POOL)]).astype(np.float32)
 
@@ -87,7 +91,7 @@ def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return tf * idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)]
 
 
-def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray, ks: range = range(_SIG)) -> np.ndarray:
     """The consistent weighted samples of documents laid end to end, one row a document.
 
     For sample k and an element of weight w, t = floor(ln w / r + beta) and
@@ -97,9 +101,9 @@ def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
     lw = np.log(w).astype(np.float32)
     lengths = np.diff(np.append(starts, len(h)))
     owner = np.repeat(np.arange(len(starts)), lengths)
-    out = np.empty((len(starts), _SIG), np.uint32)
-    for k in range(_SIG):
-        at = ((h * _ODD[8 + k]) >> np.uint64(48)).astype(np.int64)
+    out = np.empty((len(starts), len(ks)), np.uint32)
+    for n, k in enumerate(ks):
+        at = ((h * _SEEDS[k]) >> np.uint64(48)).astype(np.int64)
         r, inverse, lc, beta = _VARIATES[at].T
         t = np.floor(lw * inverse + beta)
         la = lc - r * (t - beta + 1)
@@ -107,7 +111,7 @@ def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
         hits = np.flatnonzero(la == least[owner])
         won = np.empty(len(starts), np.int64)
         won[owner[hits[::-1]]] = hits[::-1]
-        out[:, k] = _mix(h[won] + t[won].astype(np.int64).astype(np.uint64) * _ODD[7] + np.uint64(k)) >> np.uint64(32)
+        out[:, n] = _mix(h[won] + t[won].astype(np.int64).astype(np.uint64) * _ODD[7] + np.uint64(k)) >> np.uint64(32)
     return out
 
 
@@ -269,20 +273,36 @@ def near_links(nodes: DataFrame, texts_of, idf: np.ndarray) -> DataFrame:
 
     comps = components(links)
     again = cut(_open_buckets(_two_band_buckets(_open_buckets(buckets, comps), nodes), comps), "near-open")
-    fresh = _across_components(again, sigs).join(compared, ["a", "b"], "left_anti")
-    fresh = cut(fresh, "near-fresh")
+    texts = cut(texts_of(again.select("node").distinct()), "near-texts")
+    fresh = _across_components(again, cut(sign_more(texts, sigs, idf), "near-more"))
+    fresh = cut(fresh.join(compared, ["a", "b"], "left_anti"), "near-fresh")
     if not fresh.limit(1).count():
         return links
-    ends = fresh.select(F.col("a").alias("node")).unionByName(fresh.select(F.col("b").alias("node"))).distinct()
-    more = verify(fresh, cut(texts_of(ends), "near-texts"), idf)
-    return cut(links.unionByName(more), "near-all-links")
+    return cut(links.unionByName(verify(fresh, texts, idf)), "near-all-links")
+
+
+def sign_more(texts: DataFrame, sigs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(node, sig): 8 bits of each of the first samples and of MORE further ones."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, sig in zip(batch.column(1), batch.column(2), strict=True):
+                h, tf = shingles(words(text.as_buffer().to_pybytes()))
+                more = samples(h, weights(h, tf, shared.value), np.array([0]), range(_SIG, _SIG + MORE))[0]
+                first = np.frombuffer(sig.as_buffer(), np.uint32)
+                out.append(np.concatenate([first, more]).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "sig"])
+
+    return texts.join(sigs, "node").select("node", "text", "sig").mapInArrow(run, "node long, sig binary")
 
 
 def _across_components(open_: DataFrame, sigs: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of different components in a bucket(key, node, comp) whose samples agree.
 
     A task goes through its buckets one by one. Members outside the bucket's largest component are
-    compared with all members of other components, block by block, on 16 bits of each sample; only
+    compared with all members of other components, block by block, on 8 bits of each sample; only
     pairs that agree leave the task.
     """
     rows = open_.join(sigs, "node").select("key", "node", "comp", "sig").repartition("key").sortWithinPartitions("key")
@@ -293,15 +313,15 @@ def _across_components(open_: DataFrame, sigs: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             node, comp = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
-            sig = np.frombuffer(b"".join(x[2] for x in held), np.uint32).reshape(-1, _SIG).astype(np.uint16)
+            sig = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(len(held), -1)
             values, sizes = np.unique(comp, return_counts=True)
             others = np.flatnonzero(comp != values[sizes.argmax()])
             first = np.ones(len(node), bool)
             first[others] = False  # pairs of two others are found from both sides: keep one
-            step = max(1, 250_000 // len(node))
+            step = max(1, 100_000 // len(node))
             for i in range(0, len(others), step):
                 o = others[i : i + step]
-                agree = (sig[o][:, None, :] == sig[None, :, :]).mean(2) >= LEAST_AGREEMENT
+                agree = (sig[o][:, None, :] == sig[None, :, :]).mean(2) >= LEAST_AGREEMENT_ALL
                 agree &= (comp[o][:, None] != comp[None, :]) & (first[None, :] | (node[o][:, None] < node[None, :]))
                 x, y = np.nonzero(agree)
                 if len(x):
@@ -357,8 +377,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(nodes, "near-nodes")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
+        """The texts of the wanted nodes. A Bloom filter of bounded size keeps most others from being shuffled."""
+        wanted = cut(wanted, "near-wanted")
+        size = min(MOST_WORDS, max(1, wanted.count() // 8))
+        level = (cut(bloom_words(wanted.select(F.col("node").cast("string").alias("key")), 0, size), "near-filter"), size, HASHES)
         rows = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        return rows.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        rows = rows.where(passes(F.col("node").cast("string"), 0, level))
+        # the same plan at every size: a merge join also where the wanted ones are few
+        return rows.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
 
     comps = components(near_links(nodes, texts_of, idf))
     found = contents.select("content", "node", "size").join(comps, "node", "left").withColumn("class_id", F.coalesce("comp", "node"))

@@ -99,6 +99,17 @@ def bloom_words(keys: DataFrame, level: int, words: int, hashes: int = HASHES) -
     return dense.agg(F.transform(in_order, lambda x: x["bits"]).alias("words"))
 
 
+def passes(key: Column, at: int, level: tuple[DataFrame, int, int]) -> Column:
+    """The filter (row of words, number of words, hash functions) of a level may hold the key."""
+    df, words, hashes = level
+    bits = df.scalar()
+    tests = [
+        F.get(bits, F.floor(c / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (c % 64).cast("int"))) != 0
+        for c in _cells(key, at, words, hashes)
+    ]
+    return reduce(Column.__and__, tests)
+
+
 class BloomCascade:
     """Exact membership in a list for every key of a known universe.
 
@@ -125,25 +136,15 @@ class BloomCascade:
                 raise OverflowError(f"a level of {n} keys needs {words} words; the bound is {MOST_WORDS}")
             level = (cut(bloom_words(passing, len(levels), words, hashes), "url-level"), words, hashes)
             levels.append(level)
-            passed = cut(other.where(BloomCascade._passes(F.col("key"), len(levels) - 1, level)), "url-false")
+            passed = cut(other.where(passes(F.col("key"), len(levels) - 1, level)), "url-false")
             passing, other = passed, passing
             n = passing.count()
         return BloomCascade(levels, len(levels) % 2 == 1)
 
-    @staticmethod
-    def _passes(key: Column, at: int, level: tuple[DataFrame, int, int]) -> Column:
-        df, words, hashes = level
-        bits = df.scalar()
-        tests = [
-            F.get(bits, F.floor(c / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (c % 64).cast("int"))) != 0
-            for c in _cells(key, at, words, hashes)
-        ]
-        return reduce(Column.__and__, tests)
-
     def contains(self, key: Column) -> Column:
         out = F.lit(self.last_listed)
         for at in range(len(self.levels) - 1, -1, -1):
-            out = F.when(~self._passes(key, at, self.levels[at]), F.lit(at % 2 == 1)).otherwise(out)
+            out = F.when(~passes(key, at, self.levels[at]), F.lit(at % 2 == 1)).otherwise(out)
         return out
 
 
