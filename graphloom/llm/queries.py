@@ -27,4 +27,5 @@ SQL: dict[str, str] = {
     "op4_warc": warc.OP4_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op9_suffix_dedup": suffix_dedup.OP9_SQL,
 }

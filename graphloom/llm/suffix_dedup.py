@@ -529,3 +529,20 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again
+      FROM (SELECT doc_id, p, substr(h, 2 * p - 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(1, n - 98)) AS p FROM d WHERE n >= 100))),
+g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS starts FROM w WHERE again),
+i AS (SELECT doc_id, p, sum(starts) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+s AS (SELECT doc_id, k, min(p) AS low, max(p) + 100 AS high FROM i GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, coalesce(lag(high) OVER o, 1) AS a, low AS b FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY low)
+         UNION ALL SELECT doc_id, max(high), NULL FROM s GROUP BY doc_id
+         UNION ALL SELECT doc_id, 1, NULL FROM d WHERE doc_id NOT IN (SELECT doc_id FROM s)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a - 1, 2 * (coalesce(b, n + 1) - a)), '' ORDER BY a) AS x FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(high - low)::BIGINT AS n_removed FROM s GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
