@@ -18,6 +18,7 @@ from graphloom.storage import SO, GraphStore
 SINGLE, REDUCED, STATS, LOG = "single_table", "reductions", "reduction_stats", "reduction_log"
 #: ss: the subject is a subject of the other predicate; so: the subject is an object of it; and so on.
 TYPES = ("ss", "so", "os", "oo")
+MOST_BROADCAST_IDS = 100_000
 STATS_SCHEMA = "id long, p1 string, p2 string, type string, n_tuples long, n_rows long, sf double, materialised boolean"
 
 
@@ -114,8 +115,9 @@ def build_reductions(
         rows = profiled(store, sorted({r[3] for r in fresh}))
         parts = F.concat(*[_labelled(k) for k in sorted({r[3] for r in fresh})])
         exploded = rows.select("s", "o", "p", F.explode(parts).alias("x")).select("s", "o", "p", "x.kind", "x.q")
-        # as many rows as pairs of predicates: small whatever the data
-        chosen = exploded.join(F.broadcast(ids), ["p", "q", "kind"]).select("s", "o", "r")
+        # a row per pair of predicates; only a schema of very many predicates makes it too long to broadcast
+        ids = F.broadcast(ids) if len(fresh) <= MOST_BROADCAST_IDS else ids
+        chosen = exploded.join(ids, ["p", "q", "kind"]).select("s", "o", "r")
         spread = F.pmod(F.xxhash64("s"), F.lit(4))
         chosen.repartition("r", spread).write.mode("append").partitionBy("r").parquet(f"{store.path}/{REDUCED}")
     store.drop(STATS)
