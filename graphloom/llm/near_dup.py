@@ -33,7 +33,8 @@ _ODD = _rng.randint(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 #: The variates r, ln c ~ Gamma(2, 1) and beta ~ U(0, 1) of an element and a sample are drawn from this pool by hash.
 _SEEDS = _rng.randint(0, 2**63, _SIG + MORE, dtype=np.uint64) | np.uint64(1)
 _GAMMA = _rng.gamma(2.0, 1.0, _POOL)
-_VARIATES = np.column_stack([_GAMMA, 1 / _GAMMA, np.log(_rng.gamma(2.0, 1.0, _POOL)), _rng.random_sample(_POOL)]).astype(np.float32)
+_R, _LN_C, _BETA = (x.astype(np.float32) for x in (_GAMMA, np.log(_rng.gamma(2.0, 1.0, _POOL)), _rng.random_sample(_POOL)))
+_INVERSE = (1 / _GAMMA).astype(np.float32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -104,9 +105,15 @@ def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray, ks: range = range(
     out = np.empty((len(starts), len(ks)), np.uint32)
     for n, k in enumerate(ks):
         at = ((h * _SEEDS[k]) >> np.uint64(48)).astype(np.int64)
-        r, inverse, lc, beta = _VARIATES[at].T
-        t = np.floor(lw * inverse + beta)
-        la = lc - r * (t - beta + 1)
+        beta = _BETA.take(at)
+        t = _INVERSE.take(at)
+        t *= lw
+        t += beta
+        np.floor(t, out=t)
+        la = t - beta
+        la += 1
+        la *= _R.take(at)
+        np.subtract(_LN_C.take(at), la, out=la)
         least = np.minimum.reduceat(la, starts)
         hits = np.flatnonzero(la == least[owner])
         won = np.empty(len(starts), np.int64)
@@ -115,6 +122,11 @@ def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray, ks: range = range(
     return out
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    x = sig.reshape(BANDS, ROWS).astype(np.uint64)
+    return _mix((x * _ODD[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[60])
+
+
 def sign(docs: DataFrame, id_col: str, text_col: str, idf: np.ndarray) -> DataFrame:
     """(doc_id, content, sig, bands): a digest of the words, the samples and a key for every band."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
@@ -149,8 +161,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, idf: np.ndarray) -> DataFr
                 if sig is None:
                     bands.append(None)
                     continue
-                x = sig.reshape(BANDS, ROWS).astype(np.uint64)
-                bands.append(_mix((x * _ODD[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[60]).view(np.int64))
+                bands.append(band_keys(sig).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [ids.cast(pa.int64()), pa.array(contents, pa.binary()), pa.array([None if x is None else x.tobytes() for x in sigs], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "content", "sig", "bands"],
@@ -282,20 +293,36 @@ def near_links(nodes: DataFrame, texts_of, idf: np.ndarray) -> DataFrame:
 
 
 def sign_more(texts: DataFrame, sigs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(node, sig): 8 bits of each of the first samples and of MORE further ones."""
+    """(node, sig, own): 8 bits of each of the first samples and of MORE further ones, and 32 bits of each band's key."""
     shared = texts.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, sig in zip(batch.column(1), batch.column(2), strict=True):
+            out, bands = [], []
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def flush(out=out, held=held) -> None:
+                if held:
+                    starts = np.cumsum([0] + [len(h) for h, _ in held[:-1]])
+                    found = samples(np.concatenate([h for h, _ in held]), np.concatenate([w for _, w in held]), starts, range(_SIG, _SIG + MORE))
+                    out += list(found.astype(np.uint8))
+                held.clear()
+
+            size = 0
+            for text in batch.column(1):
                 h, tf = shingles(words(text.as_buffer().to_pybytes()))
-                more = samples(h, weights(h, tf, shared.value), np.array([0]), range(_SIG, _SIG + MORE))[0]
-                first = np.frombuffer(sig.as_buffer(), np.uint32)
-                out.append(np.concatenate([first, more]).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "sig"])
+                held.append((h, weights(h, tf, shared.value)))
+                size += len(h)
+                if size >= _CHUNK:
+                    flush()
+                    size = 0
+            flush()
+            first = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(2)]
+            bands = [band_keys(x).astype(np.uint32).tobytes() for x in first]
+            sigs_ = [np.concatenate([x.astype(np.uint8), y]).tobytes() for x, y in zip(first, out, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs_, pa.binary()), pa.array(bands, pa.binary())], names=["node", "sig", "own"])
 
-    return texts.join(sigs, "node").select("node", "text", "sig").mapInArrow(run, "node long, sig binary")
+    return texts.join(sigs, "node").select("node", "text", "sig").mapInArrow(run, "node long, sig binary, own binary")
 
 
 def _across_components(open_: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -305,15 +332,17 @@ def _across_components(open_: DataFrame, sigs: DataFrame) -> DataFrame:
     compared with all members of other components, block by block, on 8 bits of each sample; only
     pairs that agree leave the task.
     """
-    rows = open_.join(sigs, "node").select("key", "node", "comp", "sig").repartition("key").sortWithinPartitions("key")
+    rows = open_.join(sigs, "node").select("key", "node", "comp", "sig", "own").repartition("key").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, bytes, bytes]] = []
         now = None
 
         def flush() -> Iterator[pa.RecordBatch]:
             node, comp = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
             sig = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(len(held), -1)
+            own = np.frombuffer(b"".join(x[3] for x in held), np.uint32).reshape(len(held), BANDS)
+            two = divmod(now & 255, BANDS)
             values, sizes = np.unique(comp, return_counts=True)
             others = np.flatnonzero(comp != values[sizes.argmax()])
             first = np.ones(len(node), bool)
@@ -324,6 +353,10 @@ def _across_components(open_: DataFrame, sigs: DataFrame) -> DataFrame:
                 agree = (sig[o][:, None, :] == sig[None, :, :]).mean(2) >= LEAST_AGREEMENT_ALL
                 agree &= (comp[o][:, None] != comp[None, :]) & (first[None, :] | (node[o][:, None] < node[None, :]))
                 x, y = np.nonzero(agree)
+                # a pair leaves the bucket of the first two bands that it shares, and no other
+                shared = own[o[x]] == own[y]
+                before = shared[:, : two[1]].sum(1) - shared[:, two[0]]
+                x, y = x[before == 0], y[before == 0]
                 if len(x):
                     a, b = node[o[x]], node[y]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -342,10 +375,14 @@ def _across_components(open_: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def _two_band_buckets(open_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, node) of the nodes in open buckets, keyed by every two of their bands."""
+    """(key, node) of the nodes in open buckets, keyed by every two of their bands; the key's last byte tells which two."""
     left = open_.select("node").distinct().join(nodes.select("node", "bands"), "node")
     firsts = F.sequence(F.lit(0), F.lit(BANDS - 2))
-    keys = F.flatten(F.transform(firsts, lambda i: F.transform(F.slice("bands", i + 2, F.lit(BANDS)), lambda b: F.xxhash64(F.get("bands", i), b, i))))
+
+    def key(i, b, j):
+        return F.xxhash64(F.get("bands", i), b, i).bitwiseAND(F.lit(-256)).bitwiseOR((i * BANDS + i + 1 + j).cast("long"))
+
+    keys = F.flatten(F.transform(firsts, lambda i: F.transform(F.slice("bands", i + 2, F.lit(BANDS)), lambda b, j: key(i, b, j))))
     return left.select("node", F.explode(keys).alias("key"))
 
 
