@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,9 @@ from graphloom.llm.url_filter import HASHES, MOST_WORDS, bloom_words, passes
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and samples a band: texts of similarity 0.8 share no band with probability (1 - 0.8**3)**14 = 4e-5.
 BANDS, ROWS = 14, 3
-#: Document frequencies are counted by hash bucket, so the table that tasks need has one size for any corpus.
-DF_BITS = 18
+#: Document frequencies are exchanged between stretches of documents of about so many bytes of text and ranges of
+#: shingle hashes: LEAST_PARTS ranges, or as many as keep a range at about PART_BYTES of text.
+STRETCH_BYTES, LEAST_PARTS, PART_BYTES = 2**22, 1024, 2**24
 #: Pairs whose samples agree less than this (24 of 42) aren't verified: over three and a half standard deviations below 0.8.
 LEAST_AGREEMENT = 0.57
 _POOL = 2**16
@@ -63,33 +65,168 @@ def shingles(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.diff(np.append(first, n))
 
 
-def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
-    """(documents by shingle bucket, documents) over all rows."""
+def distinct_counts(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct hashes, the sum of n for each, where each of h is among them)."""
+    found, at = np.unique(h, return_inverse=True)
+    return found, np.bincount(at, n, len(found)).astype(np.int64), at
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(2**DF_BITS, np.int64), 0
+
+def document_frequencies(docs: DataFrame, text_col: str) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """((sorted shingle hashes, documents that have each), documents) over all rows, on the driver: for small tables.
+
+    ``with_frequencies`` is the way for large ones.
+    """
+    at, n = [np.empty(0, np.uint64)], 0
+    for (text,) in docs.select(text_col).toLocalIterator():
+        at.append(shingles(words((text or "").encode()))[0])
+        n += 1
+    h = np.concatenate(at)
+    found, counts, _ = distinct_counts(h, np.ones(len(h)))
+    return (found, counts), n
+
+
+def idf_of(frequencies: np.ndarray, documents: int) -> np.ndarray:
+    return (np.log((documents + 1) / (frequencies + 1.0)) + 1).astype(np.float32)
+
+
+def idf_table(frequencies: tuple[np.ndarray, np.ndarray], documents: int) -> tuple[np.ndarray, np.ndarray]:
+    return frequencies[0], idf_of(frequencies[1], documents)
+
+
+def weights(h: np.ndarray, tf: np.ndarray, idf: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The TF-IDF weights of a document's shingles by a table that has all of them."""
+    return tf * idf[1][np.searchsorted(idf[0], h)]
+
+
+def _shrunk(*columns: np.ndarray) -> bytes:
+    """The columns' bytes, all first ones before all second ones and so on, compressed."""
+    return pa.compress(b"".join(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in columns), "zstd", asbytes=True)
+
+
+def _grown(data: bytes, n: int, *types: type) -> list[np.ndarray]:
+    """The columns of n values that _shrunk() took."""
+    widths = [np.dtype(t).itemsize for t in types]
+    flat = np.frombuffer(pa.decompress(data, n * sum(widths), "zstd", asbytes=True), np.uint8)
+    ends = np.cumsum(widths) * n
+    return [flat[e - w * n : e].reshape(w, n).T.copy().view(t).ravel() for e, w, t in zip(ends, widths, types, strict=True)]
+
+
+def vector_of(text: bytes, frequencies: bytes, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, weights) of a text whose shingles' document frequencies came with it."""
+    h, tf = shingles(words(text))
+    return h, tf * idf_of(_grown(frequencies, len(h), np.uint32)[0], documents)
+
+
+def content_of(tokens: list[bytes]) -> bytes:
+    return hashlib.md5(b" ".join(tokens)).digest()
+
+
+def _packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held).combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    size = pc.sum(pc.binary_length(rows.column(1))).as_py() or 0
+    return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([rows.num_rows]), pa.array([size])], names=["data", "n", "size"])
+
+
+def _unpacked(data: pa.Scalar) -> tuple[pa.Array, list[list[bytes]], list[tuple[np.ndarray, np.ndarray]]]:
+    """(ids, words of each text, shingles of each text) of a stretch."""
+    rows = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
+    ids, texts = (rows.column(i).combine_chunks() for i in (0, 1))
+    tokens = [words(t.as_buffer().to_pybytes()) if t.is_valid else [] for t in texts]
+    return ids, tokens, [shingles(t) for t in tokens]
+
+
+def stretches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(stretch, data, n, size): all rows' ids and texts, packed by stretches of about STRETCH_BYTES."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                n += 1
-                if text.is_valid:
-                    h, _ = shingles(words(text.as_buffer().to_pybytes()))
-                    np.add.at(total, (h >> np.uint64(64 - DF_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
+            first = 0
+            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+                size += n + 16
+                if size >= STRETCH_BYTES:
+                    held.append(batch.slice(first, i + 1 - first))
+                    yield _packed(held)
+                    held, size, first = [], 0, i + 1
+            if first < batch.num_rows:
+                held.append(batch.slice(first))
+        if held:
+            yield _packed(held)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    packed = rows.mapInArrow(pack, "data binary, n long, size long")
+    return cut(packed.select(F.monotonically_increasing_id().alias("stretch"), "data", "n", "size"), "near-stretches")
 
-    rows = docs.select(text_col).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    at, n = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-    out = np.zeros(2**DF_BITS, np.int64)
-    out[at[at >= 0]] = n[at >= 0]
-    return out, int(n[at < 0].sum())
 
+def with_frequencies(packed: DataFrame, bits: int) -> DataFrame:
+    """(stretch, part, n, data): each of stretches() with part -1, then, part by part, the document frequencies of its distinct shingles.
 
-def idf_table(frequencies: np.ndarray, documents: int) -> np.ndarray:
-    return (np.log((documents + 1) / (frequencies + 1)) + 1).astype(np.float32)
+    A part is a range of hashes, told by their first ``bits`` bits. A stretch sends each part its distinct hashes with
+    the number of its documents that have them, sorted; the part adds them up and answers in the same order. So counts
+    are exact, and a shingle that all documents share comes once from each stretch.
+    """
+    shift = np.uint64(64 - bits)
+    schema = "part int, stretch long, n int, data binary"
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stretch, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.concatenate([x[0] for x in _unpacked(data)[2]])
+                if not len(h):
+                    continue
+                h, n, _ = distinct_counts(h, np.ones(len(h)))
+                part = (h >> shift).astype(np.int32)
+                starts = np.flatnonzero(np.diff(part, prepend=-1))
+                ends = np.append(starts[1:], len(h))
+                n = n.astype(np.uint32)
+                steps = np.diff(h, prepend=np.uint64(0))
+                steps[starts] = h[starts] - (part[starts].astype(np.uint64) << shift)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(part[starts], pa.int32()),
+                        pa.array([stretch] * len(starts), pa.int64()),
+                        pa.array(ends - starts, pa.int32()),
+                        pa.array([_shrunk(steps[i:j], n[i:j]) for i, j in zip(starts, ends, strict=True)], pa.binary()),
+                    ],
+                    names=["part", "stretch", "n", "data"],
+                )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        now = None
 
-def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return tf * idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+        def flush() -> pa.RecordBatch:
+            columns = [_grown(data, n, np.uint64, np.uint32) for _, n, data in held]
+            low = np.uint64(now) << shift
+            _, total, at = distinct_counts(np.concatenate([np.cumsum(x[0], dtype=np.uint64) + low for x in columns]), np.concatenate([x[1] for x in columns]))
+            total = np.split(total.astype(np.uint32)[at], np.cumsum([n for _, n, _ in held])[:-1])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x[0] for x in held], pa.int64()),
+                    pa.array([now] * len(held), pa.int32()),
+                    pa.array([x[1] for x in held], pa.int32()),
+                    pa.array([_shrunk(x) for x in total], pa.binary()),
+                ],
+                names=["stretch", "part", "n", "data"],
+            )
+
+        for batch in batches:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    if held:
+                        yield flush()
+                    held, now = [], part
+                held.append(tuple(row))
+        if held:
+            yield flush()
+
+    asked = packed.select("stretch", "data").mapInArrow(ask, schema).repartition("part").sortWithinPartitions("part")
+    answered = asked.mapInArrow(answer, "stretch long, part int, n int, data binary")
+    both = packed.select("stretch", F.lit(-1).alias("part"), F.col("n").cast("int").alias("n"), "data").unionByName(answered)
+    return both.repartition("stretch").sortWithinPartitions("stretch", "part")
 
 
 def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray, ks: range = range(_SIG)) -> np.ndarray:
@@ -127,48 +264,62 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return _mix((x * _ODD[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[60])
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str, idf: np.ndarray) -> DataFrame:
-    """(doc_id, content, sig, bands): a digest of the words, the samples and a key for every band."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+def sign(asked: DataFrame, documents: int) -> DataFrame:
+    """(doc_id, content, df, sig, bands) of with_frequencies(): a digest of the words, the document frequency of each shingle, the samples and a key for every band."""
+
+    def signed(data: pa.Scalar, answers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids, tokens, found = _unpacked(data)
+        frequencies = np.concatenate([np.empty(0, np.uint32), *answers])
+        lengths = [len(h) for h, _ in found]
+        distinct, at = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
+        if len(distinct) != len(frequencies):
+            raise ValueError(f"{len(frequencies)} document frequencies for {len(distinct)} shingles")
+        df = np.split(frequencies[at], np.cumsum(lengths)[:-1])
+        sigs: list[np.ndarray | None] = [None] * len(found)
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> None:
+            if held:
+                starts = np.cumsum([0] + [len(x[1]) for x in held[:-1]])
+                drawn = samples(np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), starts)
+                for (i, _, _), sig in zip(held, drawn, strict=True):
+                    sigs[i] = sig
+            held.clear()
+
+        for i, (h, tf) in enumerate(found):
+            if len(h):
+                held.append((i, h, tf * idf_of(df[i], documents)))
+                size += len(h)
+                if size >= _CHUNK:
+                    flush()
+                    size = 0
+        flush()
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids,
+                pa.array(list(map(content_of, tokens)), pa.binary()),
+                pa.array([_shrunk(x) if len(x) else b"" for x in df], pa.binary()),
+                pa.array([None if x is None else x.tobytes() for x in sigs], pa.binary()),
+                pa.array([None if x is None else band_keys(x).view(np.int64) for x in sigs], pa.list_(pa.int64())),
+            ],
+            names=["doc_id", "content", "df", "sig", "bands"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, answers = None, []
         for batch in batches:
-            ids, contents, sigs = batch.column(0), [], [None] * batch.num_rows
-            held: list[tuple[int, np.ndarray, np.ndarray]] = []
-            size = 0
-
-            def flush() -> None:
-                if held:
-                    starts = np.cumsum([0] + [len(x[1]) for x in held[:-1]])
-                    found = samples(np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), starts)
-                    for (i, _, _), sig in zip(held, found, strict=True):
-                        sigs[i] = sig
-                held.clear()
-
-            for i, text in enumerate(batch.column(1)):
-                tokens = words(text.as_buffer().to_pybytes()) if text.is_valid else []
-                contents.append(hashlib.md5(b" ".join(tokens)).digest())
-                h, tf = shingles(tokens)
-                if len(h):
-                    held.append((i, h, weights(h, tf, shared.value)))
-                    size += len(h)
-                    if size >= _CHUNK:
-                        flush()
-                        size = 0
-            flush()
-            bands: list[np.ndarray | None] = []
-            for sig in sigs:
-                if sig is None:
-                    bands.append(None)
+            for part, n, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if part >= 0:
+                    answers += _grown(row.as_py(), n, np.uint32)
                     continue
-                bands.append(band_keys(sig).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(contents, pa.binary()), pa.array([None if x is None else x.tobytes() for x in sigs], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "content", "sig", "bands"],
-            )
+                if data is not None:
+                    yield from signed(data, answers)
+                data, answers = row, []
+        if data is not None:
+            yield from signed(data, answers)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, content binary, sig binary, bands array<bigint>")
+    return asked.select("part", "n", "data").mapInArrow(run, "doc_id long, content binary, df binary, sig binary, bands array<bigint>")
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -194,26 +345,24 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return common / everything if everything else 0.0
 
 
-def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILARITY) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, documents: int, least: float = SIMILARITY) -> DataFrame:
     """The pairs(a, b) whose texts have at least this weighted Jaccard similarity, with it.
 
     b is the pivot that many a share: each row brings its own a, and the texts of hot pivots are
     repeated for the tasks that their pairs are dealt to.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(idf)
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.struct("text", "df").alias("text_a")), "a")
     counts = pairs.groupBy("b").count()
     total = pairs.count()
     hot = cut(heavy(counts, "count", total).select("b"), "near-hot")
-    both = join_hot(with_a, texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b", hot, "a")
+    both = join_hot(with_a, texts.select(F.col("node").alias("b"), F.struct("text", "df").alias("text_b")), "b", hot, "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
         def vector(node: int, text) -> tuple[np.ndarray, np.ndarray]:
             if node not in held:
-                h, tf = shingles(words(text.as_buffer().to_pybytes()))
-                held[node] = (h, weights(h, tf, shared.value))
+                held[node] = vector_of(text["text"].as_py(), text["df"].as_py(), documents)
                 if len(held) > 64:
                     held.popitem(last=False)
             held.move_to_end(node)
@@ -262,7 +411,7 @@ def _stars(buckets: DataFrame, total: int) -> DataFrame:
     return pairs.where("a <> b").select("a", "b").distinct()
 
 
-def near_links(nodes: DataFrame, texts_of, idf: np.ndarray) -> DataFrame:
+def near_links(nodes: DataFrame, texts_of, documents: int) -> DataFrame:
     """Verified links(a, b, similarity) that connect what the bands of nodes(node, sig, bands) bring together.
 
     First every bucket's members are compared with its pivot. Members of buckets that still hold
@@ -279,22 +428,21 @@ def near_links(nodes: DataFrame, texts_of, idf: np.ndarray) -> DataFrame:
     sigs = cut(nodes.join(scores.select("node"), "node", "left_semi").select("node", "sig"), "near-sigs")
     pairs = cut(agreeing(_stars(buckets, total), sigs), "near-pairs")
     texts = cut(texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()), "near-texts")
-    links = cut(verify(pairs, texts, idf), "near-verified")
+    links = cut(verify(pairs, texts, documents), "near-verified")
     compared = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     comps = components(links)
     again = cut(_open_buckets(_two_band_buckets(_open_buckets(buckets, comps), nodes), comps), "near-open")
     texts = cut(texts_of(again.select("node").distinct()), "near-texts")
-    fresh = _across_components(again, cut(sign_more(texts, sigs, idf), "near-more"))
+    fresh = _across_components(again, cut(sign_more(texts, sigs, documents), "near-more"))
     fresh = cut(fresh.join(compared, ["a", "b"], "left_anti"), "near-fresh")
     if not fresh.limit(1).count():
         return links
-    return cut(links.unionByName(verify(fresh, texts, idf)), "near-all-links")
+    return cut(links.unionByName(verify(fresh, texts, documents)), "near-all-links")
 
 
-def sign_more(texts: DataFrame, sigs: DataFrame, idf: np.ndarray) -> DataFrame:
+def sign_more(texts: DataFrame, sigs: DataFrame, documents: int) -> DataFrame:
     """(node, sig, own): 8 bits of each of the first samples and of MORE further ones, and 32 bits of each band's key."""
-    shared = texts.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,9 +457,9 @@ def sign_more(texts: DataFrame, sigs: DataFrame, idf: np.ndarray) -> DataFrame:
                 held.clear()
 
             size = 0
-            for text in batch.column(1):
-                h, tf = shingles(words(text.as_buffer().to_pybytes()))
-                held.append((h, weights(h, tf, shared.value)))
+            for text, df in zip(batch.column(1), batch.column(3), strict=True):
+                h, w = vector_of(text.as_py(), df.as_py(), documents)
+                held.append((h, w))
                 size += len(h)
                 if size >= _CHUNK:
                     flush()
@@ -322,7 +470,7 @@ def sign_more(texts: DataFrame, sigs: DataFrame, idf: np.ndarray) -> DataFrame:
             sigs_ = [np.concatenate([x.astype(np.uint8), y]).tobytes() for x, y in zip(first, out, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs_, pa.binary()), pa.array(bands, pa.binary())], names=["node", "sig", "own"])
 
-    return texts.join(sigs, "node").select("node", "text", "sig").mapInArrow(run, "node long, sig binary, own binary")
+    return texts.join(sigs, "node").select("node", "text", "sig", "df").mapInArrow(run, "node long, sig binary, own binary")
 
 
 def _across_components(open_: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -404,26 +552,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class of its equal texts; where only such rows have a text, their class_id is null and they
     stay. Rows that share an id and differ in text are in the class of the smaller one's content.
     """
-    frequencies, n = document_frequencies(docs, text_col)
-    idf = idf_table(frequencies, n)
-    signed = cut(sign(docs, id_col, text_col, idf), "near-signed")
+    packed = stretches(docs, id_col, text_col)
+    n, size = packed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    bits = (max(LEAST_PARTS, size // PART_BYTES) - 1).bit_length()
+    signed = cut(sign(with_frequencies(packed, bits), n), "near-signed")
     contents = signed.groupBy("content").agg(F.min("doc_id").alias("node"), F.count("*").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     contents = cut(contents, "near-contents")
     # an id that stands for several contents is a node with the first of them
-    nodes = contents.where("node is not null").dropDuplicates(["node"]).select("node", "sig", "bands")
+    nodes = contents.where("node is not null").dropDuplicates(["node"]).select("node", "content", "sig", "bands")
     nodes = cut(nodes, "near-nodes")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """The texts of the wanted nodes. A Bloom filter of bounded size keeps most others from being shuffled."""
-        wanted = cut(wanted, "near-wanted")
+        """(node, text, df) of the wanted nodes. A Bloom filter of bounded size keeps most others from being shuffled."""
+        # the same plan at every size: a merge join also where the wanted ones are few
+        wanted = cut(nodes.join(wanted.hint("merge"), "node", "left_semi").select("node", "content"), "near-wanted")
         size = min(MOST_WORDS, max(1, wanted.count() // 8))
         level = (cut(bloom_words(wanted.select(F.col("node").cast("string").alias("key")), 0, size), "near-filter"), size, HASHES)
-        rows = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        rows = rows.where(passes(F.col("node").cast("string"), 0, level))
-        # the same plan at every size: a merge join also where the wanted ones are few
-        return rows.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
 
-    comps = components(near_links(nodes, texts_of, idf))
+        def of_wanted(rows: DataFrame) -> DataFrame:
+            return rows.join(wanted.hint("merge"), ["node", "content"], "left_semi").dropDuplicates(["node"]).drop("content")
+
+        def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                contents = [content_of(words(t.as_buffer().to_pybytes())) for t in batch.column(1)]
+                yield batch.append_column("content", pa.array(contents, pa.binary()))
+
+        rows = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+        rows = rows.where(passes(F.col("node").cast("string"), 0, level)).mapInArrow(digest, "node long, text binary, content binary")
+        known = signed.select(F.col("doc_id").alias("node"), "content", "df").where(passes(F.col("doc_id").cast("string"), 0, level))
+        return of_wanted(rows).join(of_wanted(known).hint("merge"), "node")
+
+    comps = components(near_links(nodes, texts_of, n))
     found = contents.select("content", "node", "size").join(comps, "node", "left").withColumn("class_id", F.coalesce("comp", "node"))
     found = cut(found.select("content", "size", "class_id"), "near-classes")
     sizes = found.groupBy("class_id").agg(F.sum("size").alias("class_size"))

@@ -180,6 +180,25 @@ def test_near_duplicates_by_brute_force(spark):
     assert got == want and len(set(want.values())) < len(rows)
 
 
+def test_rare_shingles_weigh_by_their_own_frequency(spark):
+    rng = np.random.RandomState(3)
+    word = np.array([f"w{i}" for i in range(30_000)])
+    own, one, other = (" ".join(rng.choice(word, n)) for n in (404, 206, 206))
+    rows = [(i, f"{one} {' '.join(rng.choice(word, 20_000))} {other}") for i in range(300)] + [(1000, f"{own} {one}"), (1001, f"{own} {other}")]
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    a, b = (grams(t) for _, t in rows[-2:])
+    seen = collections.Counter(g for _, t in rows for g in grams(t) & (a | b))
+    weight = {g: np.log((len(rows) + 1) / (n + 1)) + 1 for g, n in seen.items()}
+    similarity = sum(weight[g] for g in a & b) / sum(weight[g] for g in a | b)
+    assert similarity >= 0.82
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: min(i, 1000) for i, _ in rows}
+
+
 def test_near_duplicates_edges(docs):
     out = near_dup.near_duplicates(docs)
     got = sorted(map(tuple, out.select("doc_id", "class_id").collect()), key=repr)
