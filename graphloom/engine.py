@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.functions.terms import Prefixes
 from graphloom.layouts.base import Layout
@@ -43,9 +44,24 @@ class Engine:
         return store
 
     def query(self, sparql: str) -> DataFrame:
-        """The result as a lazy DataFrame: a column of encoded terms for each variable."""
-        op = parse(sparql).op
-        return Compiler(self.layout).query(optimize(op) if self.optimizer else op)
+        """The result as a lazy DataFrame: a column of encoded terms for each variable.
+
+        Variables that differ by case alone are two columns, which Spark tells apart by name only
+        under spark.sql.caseSensitive.
+        """
+        asked = parse(sparql)
+        df = Compiler(self.layout).query(optimize(asked.op) if self.optimizer else asked.op)
+        if asked.shown:
+            df = df.toDF(*[asked.shown.get(c, c) for c in df.columns])
+        return df
+
+    def expanded(self, sparql: str) -> DataFrame:
+        """The result with full IRIs instead of compacted ones."""
+        df = self.query(sparql)
+        names, inside = df.columns, [f"c{i}" for i in range(len(df.columns))]
+        whole = self.store.prefixes.full_column
+        out = [whole(F.col(c)).alias(c) if t == "string" else F.col(c) for c, (_, t) in zip(inside, df.dtypes, strict=True)]
+        return df.toDF(*inside).select(*out).toDF(*names)
 
     def count(self, sparql: str) -> int:
         return self.query(sparql).count()

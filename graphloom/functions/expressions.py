@@ -23,8 +23,9 @@ class Value:
 
 
 class ExpressionCompiler:
-    def __init__(self, prefixes: T.Prefixes, column: Callable[[str], Column | None]) -> None:
-        self.prefixes, self.column = prefixes, column
+    def __init__(self, prefixes: T.Prefixes, column: Callable[[str], Column | None], exists: Callable[[A.Exists], Column] | None = None) -> None:
+        """column: a variable's column; exists: the boolean column of an EXISTS that is part of an expression."""
+        self.prefixes, self.column, self.exists = prefixes, column, exists
 
     # views of a value
 
@@ -33,12 +34,9 @@ class ExpressionCompiler:
             return v.col.cast("double")
         if v.kind == "term":
             if isinstance(v.const, T.Literal):
-                try:
-                    return F.lit(float(v.const.value))
-                except ValueError:
-                    return F.lit(None).cast("double")
+                return F.lit(T.number_of(v.const.value) if _numeric(v.const) else None).cast("double")
             return T.numeric(v.col)
-        return v.col.try_cast("double") if v.kind == "str" else F.lit(None).cast("double")
+        return T.number_of_column(v.col) if v.kind == "str" else F.lit(None).cast("double")
 
     def text(self, v: Value) -> Column:
         if v.kind == "term":
@@ -84,6 +82,8 @@ class ExpressionCompiler:
             return Value("term", F.lit(None).cast("string") if c is None else c)
         if isinstance(e, A.Call):
             return self.call(e)
+        if isinstance(e, A.Exists) and self.exists is not None:
+            return Value("bool", self.exists(e))
         raise A.UnsupportedFeature(f"{type(e).__name__} inside an expression")
 
     def call(self, e: A.Call) -> Value:
@@ -238,10 +238,7 @@ def _typed_number(term: T.Term | None) -> bool:
 
 
 def _numeric(term: T.Term) -> bool:
-    if not isinstance(term, T.Literal) or term.lang:
+    """The constant is read as a number: by its lexical form, whatever its datatype but string and boolean."""
+    if not isinstance(term, T.Literal) or term.lang or term.datatype in (T.XSD + "string", T.XSD + "boolean"):
         return False
-    try:
-        float(term.value)
-    except ValueError:
-        return False
-    return True
+    return T.number_of(term.value) is not None

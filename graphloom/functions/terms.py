@@ -7,6 +7,7 @@ datatype; a blank node starts with ``_:``.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -92,6 +93,14 @@ class Prefixes:
         return out.otherwise(c)
 
 
+    def full_column(self, c: Column) -> Column:
+        """A column of terms as N-Triples writes them: full IRIs in angle brackets, also of datatypes."""
+        tail = datatype(c)
+        typed = F.concat(F.regexp_extract(c, r'(?s)^(".*"\^\^)[^"]+$', 1), F.lit("<"), self.expand_column(tail), F.lit(">"))
+        literal = F.when(tail != "", typed).otherwise(c)
+        return F.when(is_literal(c), literal).when(is_blank(c), c).otherwise(F.concat(F.lit("<"), self.expand_column(c), F.lit(">")))
+
+
 def is_literal(c: Column) -> Column:
     return F.startswith(c, F.lit('"'))
 
@@ -105,6 +114,20 @@ def is_iri(c: Column) -> Column:
 
 
 _LITERAL = r'(?s)^"(.*)"(?:@([A-Za-z0-9-]+)|\^\^(.+))?$'
+#: The lexical form of a number. Java and Python read more than this ("5d", "NaN", "1_000"), which no number of XSD is.
+_NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+#: A number without a datatype or with one that isn't a text's; INF and NaN only of a floating type.
+_NUMERIC = rf'^"({_NUMBER})"(?:\^\^(?!\S*[#:](?:string|boolean)>?$).+)?$'
+_SPECIAL = r'^"([+-]?INF|NaN)"\^\^\S*[#:](?:double|float)>?$'
+
+
+def number_of(text: str) -> float | None:
+    """The value of a number's lexical form, None for any other text."""
+    return float(text) if re.fullmatch(_NUMBER, text, re.A) else None
+
+
+def number_of_column(text: Column) -> Column:
+    return F.when(F.rlike(text, F.lit(f"^{_NUMBER}$")), text).try_cast("double")
 
 
 def _unescaped(c: Column) -> Column:
@@ -130,7 +153,15 @@ def datatype(c: Column) -> Column:
 
 def numeric(c: Column) -> Column:
     """A literal's value as a double, null where it is none; never an ANSI cast error."""
-    return F.when(is_literal(c), F.regexp_extract(c, _LITERAL, 1)).try_cast("double")
+    special = F.replace(F.regexp_extract(c, _SPECIAL, 1), F.lit("INF"), F.lit("Infinity"))
+    value = F.nullif(F.regexp_extract(c, _NUMERIC, 1), F.lit("")).try_cast("double")
+    return F.coalesce(value, F.when(F.rlike(c, F.lit(_SPECIAL)), special).try_cast("double"))
+
+
+def canonical(c: Column) -> Column:
+    """Equal for terms that compare as equal: a number's value, else the term itself."""
+    number = numeric(c)
+    return F.when(number.isNotNull(), F.concat(F.lit("#"), (number + F.lit(0.0)).cast("string"))).otherwise(c)
 
 
 def quoted(text: Column) -> Column:

@@ -35,17 +35,17 @@ def pivoted(store: GraphStore) -> DataFrame:
     return wide.select(*columns)
 
 
-def build_nested(store: GraphStore, mode: str = "errorifexists") -> None:
-    pivoted(store).write.mode(mode).parquet(f"{store.path}/{NESTED}")
+def build_nested(store: GraphStore, mode: str = "errorifexists", keep: bool = False) -> None:
+    store.write(pivoted(store), NESTED, mode)
 
 
-def build_flat(store: GraphStore, mode: str = "errorifexists") -> None:
+def build_flat(store: GraphStore, mode: str = "errorifexists", keep: bool = False) -> None:
     """The product of a subject's values: its rows grow with every multi-valued predicate."""
     out = pivoted(store)
     for p in store.predicates.values():
         if p.multi:
             out = out.withColumn(p.column, F.explode_outer(p.column))
-    out.write.mode(mode).parquet(f"{store.path}/{FLAT}")
+    store.write(out, FLAT, mode)
 
 
 def load_properties(store: GraphStore) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -15,35 +16,56 @@ from graphloom.operators.solution import Solution
 from graphloom.plans.algebra import Triple
 from graphloom.storage import SO, GraphStore
 
-SINGLE, REDUCED, STATS, LOG = "single_table", "reductions", "reduction_stats", "reduction_log"
+SINGLE, REDUCED, STATS, LOG, PROFILE = "single_table", "reductions", "reduction_stats", "reduction_log", "term_profile"
 #: ss: the subject is a subject of the other predicate; so: the subject is an object of it; and so on.
 TYPES = ("ss", "so", "os", "oo")
 MOST_BROADCAST_IDS = 100_000
-STATS_SCHEMA = "id long, p1 string, p2 string, type string, n_tuples long, n_rows long, sf double, materialised boolean"
+#: A row for every reduction that isn't empty. What was looked at is in COVERED, and a pair in there without a row is empty.
+STATS_SCHEMA = "id long, p1 string, p2 string, type string, n_tuples long, n_rows long, sf double, build string"
+COVERED = "reduction_covered"
+COVERED_SCHEMA = "kinds array<string>, first array<string>, second array<string>"
 
 
-def profiled(store: GraphStore, kinds: Iterable[str] = TYPES) -> DataFrame:
-    """triples with an array of predicates for each kind, in one join a kind instead of one a pair of predicates.
+def term_profile(store: GraphStore) -> DataFrame:
+    """(k, as_s, as_o): for each term the predicates that have it as subject and as object.
 
-    Only distinct (term, predicate) pairs are grouped, so an array is no longer than the number of
-    predicates however frequent its term is.
+    One aggregation for all kinds of neighbours. It collects sets, map-side first, so a term's row is no
+    longer than the list of predicates however many triples it has.
     """
-    rows = store.triples()
-    out = rows
-    for kind in kinds:
-        mine, theirs = kind
-        sets = rows.select(F.col(theirs).alias("k"), F.col("p").alias("q")).distinct().groupBy("k").agg(F.collect_list("q").alias(kind))
-        out = out.join(sets.withColumnRenamed("k", f"k_{kind}"), F.col(mine) == F.col(f"k_{kind}"), "left").drop(f"k_{kind}")
+    ends = F.array(*[F.struct(F.col(c).alias("k"), F.lit(c == "s").alias("own")) for c in ("s", "o")])
+    places = store.triples().select("p", F.explode(ends).alias("x")).select("p", "x.k", "x.own")
+    sets = [F.collect_set(F.when(F.col("own") if own else ~F.col("own"), F.col("p"))).alias(c) for own, c in ((True, "as_s"), (False, "as_o"))]
+    return places.groupBy("k").agg(*sets)
+
+
+def profiled(store: GraphStore, kinds: Iterable[str] = TYPES, keep: bool = False) -> DataFrame:
+    """triples with an array of predicates for each kind: a join with the terms' profile for each end that the kinds ask for.
+
+    The profile is written first, so that both joins read it instead of counting again. keep leaves it there.
+    """
+    kinds = tuple(kinds)
+    if not (keep and store.has(PROFILE)):
+        store.write(term_profile(store), PROFILE, "overwrite")
+    profile = store.read(PROFILE, ST.StructType([ST.StructField("k", ST.StringType()), *[ST.StructField(c, ST.ArrayType(ST.StringType())) for c in ("as_s", "as_o")]]))
+    out = store.triples()
+    for mine in ("s", "o"):
+        own = [k for k in kinds if k[0] == mine]
+        if own:
+            sets = profile.select(F.col("k").alias("__k"), *[F.col(f"as_{k[1]}").alias(k) for k in own])
+            out = out.join(sets, F.col(mine) == F.col("__k"), "left").drop("__k")
     return out
 
 
-def build_single(store: GraphStore, mode: str = "errorifexists") -> None:
+def build_single(store: GraphStore, mode: str = "errorifexists", keep: bool = False) -> None:
     """s, o and a flag ss_, so_, os_ for every predicate, partitioned by p."""
     kinds = ("ss", "so", "os")
-    rows = profiled(store, kinds)
-    flags = [F.coalesce(F.array_contains(k, q.term), F.lit(False)).alias(f"{k}_{q.column}") for k in kinds for q in store.predicates.values()]
+    rows = profiled(store, kinds, keep)
+    # a flag is a cell of a map that is made once a row; absent is false
+    flags = [F.array_contains(k, q.term).alias(f"{k}_{q.column}") for k in kinds for q in store.predicates.values()]
     spread = F.pmod(F.xxhash64("s"), F.lit(16))
-    rows.repartition("p", spread).select("s", "o", "p", *flags).write.mode(mode).partitionBy("p").parquet(f"{store.path}/{SINGLE}")
+    store.write(rows.repartition("p", spread).select("s", "o", "p", *flags), SINGLE, mode, "p")
+    if not keep:
+        store.drop(PROFILE)
 
 
 def single_schema(store: GraphStore) -> ST.StructType:
@@ -72,6 +94,21 @@ def reduction_sizes(store: GraphStore, kinds: Iterable[str] = TYPES) -> DataFram
     return out
 
 
+def reduction_stats(store: GraphStore) -> DataFrame:
+    """The recorded reductions that aren't empty; build names the folder of a written one and is null where none was written."""
+    at = store.folder.latest(STATS)
+    return store.spark.createDataFrame([], STATS_SCHEMA) if at is None else store.read(at).select(*[f.split()[0] for f in STATS_SCHEMA.split(", ")])
+
+
+def covered(store: GraphStore) -> list[tuple[set[str], set[str], set[str]]]:
+    """(kinds, first predicates, second predicates) that builds have looked at: one row a build."""
+    at = store.folder.latest(STATS)
+    if at is None:
+        return []
+    rows = store.read(f"{COVERED}/{at.rpartition('/')[2]}").collect()
+    return [(set(r["kinds"]), set(r["first"]), set(r["second"])) for r in rows]
+
+
 def build_reductions(
     store: GraphStore,
     threshold: float = 1.0,
@@ -79,12 +116,15 @@ def build_reductions(
     predicates: Iterable[str] | None = None,
     span: tuple[int, int] | None = None,
     keep_all: bool = False,
+    keep: bool = False,
 ) -> None:
     """Write every reduction with 0 < SF < threshold, and the statistics of all that were looked at.
 
     kinds, predicates (a list instead of all) and span (positions [a, b) of p1 in the sorted list)
     restrict what is built; what an earlier call recorded is kept and not built again. keep_all
-    writes every reduction that isn't empty. All are written by one job, partitioned by their id.
+    writes every reduction that isn't empty. All are written by one job, partitioned by their id,
+    into a folder of this call's own. Only the statistics, which are written last, name that folder:
+    a call that dies leaves nothing that is read, and the next one starts from the same records.
     """
     spark = store.spark
     kinds = tuple(kinds)
@@ -93,36 +133,52 @@ def build_reductions(
     began = time.time()
     wanted = sorted(set(predicates) & set(store.predicates)) if predicates is not None else sorted(store.predicates)
     first = wanted[slice(*span)] if span else wanted
-    known = {(r["p1"], r["p2"], r["type"]): r for r in store.read(STATS).collect()} if store.has(STATS) else {}
-    sizes = {(r["p1"], r["p2"], r["type"]): r["n_tuples"] for r in reduction_sizes(store, kinds).collect()}
-    stats, fresh = [tuple(r) for r in known.values()], []
-    next_id = 1 + max((r["id"] for r in known.values()), default=-1)
-    for p1 in first:
-        for p2 in wanted:
-            for kind in kinds:
-                if (p1, p2, kind) in known or p1 == p2 and kind in ("ss", "oo"):
-                    continue
-                n, rows = sizes.get((p1, p2, kind), 0), store.predicates[p1].rows
-                sf = n / rows
-                write = n > 0 and (keep_all or sf < threshold)
-                row = (next_id, p1, p2, kind, n, rows, sf, write)
-                next_id += 1
-                stats.append(row)
-                if write:
-                    fresh.append(row)
-    if fresh:
-        ids = spark.createDataFrame([(r[0], r[1], r[2], r[3]) for r in fresh], "r long, p string, q string, kind string")
-        rows = profiled(store, sorted({r[3] for r in fresh}))
-        parts = F.concat(*[_labelled(k) for k in sorted({r[3] for r in fresh})])
-        exploded = rows.select("s", "o", "p", F.explode(parts).alias("x")).select("s", "o", "p", "x.kind", "x.q")
+    known, looked = reduction_stats(store), covered(store)
+    for build in store.folder.names(REDUCED):
+        if known.where(F.col("build") == build).isEmpty():
+            store.drop(f"{REDUCED}/{build}")
+    build = uuid.uuid4().hex
+
+    def among(c: str, terms: Iterable[str]) -> Column:
+        return F.array_contains(F.lit(sorted(terms)), F.col(c))
+
+    fresh = reduction_sizes(store, kinds).where(among("p1", first) & among("p2", wanted))
+    for done_kinds, done_first, done_second in looked:
+        fresh = fresh.where(~(among("type", done_kinds) & among("p1", done_first) & among("p2", done_second)))
+    rows = spark.createDataFrame([(p.term, p.rows) for p in store.predicates.values()], "p1 string, n_rows long")
+    next_id = 1 + (known.agg(F.max("id")).first()[0] if not known.isEmpty() else -1)
+    sized = fresh.join(rows, "p1").withColumn("sf", F.col("n_tuples") / F.col("n_rows"))
+    sized = sized.withColumn("build", F.when(F.lit(True) if keep_all else F.col("sf") < threshold, build))
+    numbered = sized.withColumn("id", F.monotonically_increasing_id() + F.lit(next_id))
+    at = f"reduction_new-{build}"
+    store.write(numbered.select(*[f.split()[0] for f in STATS_SCHEMA.split(", ")]), at)
+    new = store.read(at)
+    written = new.where("build is not null")
+    n = written.count()
+    if n:
+        used = sorted(r[0] for r in written.select("type").distinct().collect())
+        ids = written.select(F.col("id").alias("r"), F.col("p1").alias("p"), F.col("p2").alias("q"), F.col("type").alias("kind"))
+        profiles = profiled(store, used, keep)
+        parts = F.concat(*[_labelled(k) for k in used])
+        exploded = profiles.select("s", "o", "p", F.explode(parts).alias("x")).select("s", "o", "p", "x.kind", "x.q")
         # a row per pair of predicates; only a schema of very many predicates makes it too long to broadcast
-        ids = F.broadcast(ids) if len(fresh) <= MOST_BROADCAST_IDS else ids
+        ids = F.broadcast(ids) if n <= MOST_BROADCAST_IDS else ids
         chosen = exploded.join(ids, ["p", "q", "kind"]).select("s", "o", "r")
         spread = F.pmod(F.xxhash64("s"), F.lit(4))
-        chosen.repartition("r", spread).write.mode("append").partitionBy("r").parquet(f"{store.path}/{REDUCED}")
-    store.drop(STATS)
-    spark.createDataFrame(stats, STATS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{store.path}/{STATS}")
-    log = [("build_reductions", f"threshold={threshold} kinds={','.join(kinds)}", time.time() - began, len(fresh))]
+        store.write(chosen.repartition("r", spread), f"{REDUCED}/{build}", "overwrite", "r")
+        if not keep:
+            store.drop(PROFILE)
+    # what was looked at is in place before the statistics of the same number make it valid
+    number = 1 + max((int(v) for v in store.folder.names(STATS) if v.isdigit()), default=0)
+    spans = [*looked, (set(kinds), set(first), set(wanted))]
+    rows = spark.createDataFrame([tuple(sorted(x) for x in r) for r in spans], COVERED_SCHEMA).coalesce(1)
+    store.write(rows, f"{COVERED}/{number:08d}", "overwrite")
+    store.folder.publish(known.unionByName(new).coalesce(1), STATS)
+    for v in store.folder.names(COVERED):
+        if int(v) < number:
+            store.drop(f"{COVERED}/{v}")
+    store.drop(at)
+    log = [("build_reductions", f"threshold={threshold} kinds={','.join(kinds)}", time.time() - began, n)]
     spark.createDataFrame(log, "operation string, description string, seconds double, written long").coalesce(1).write.mode("append").parquet(f"{store.path}/{LOG}")
 
 
@@ -180,24 +236,27 @@ class Reductions(Layout):
     def __init__(self, store: GraphStore, reorder: bool = True, threshold: float = 1.0) -> None:
         super().__init__(store, reorder)
         self.threshold = threshold
-        self.stats = {(r["p1"], r["p2"], r["type"]): r for r in store.read(STATS).collect()}
+        self.stats = {(r["p1"], r["p2"], r["type"]): r for r in reduction_stats(store).collect()}
+        self.covered = covered(store)
+        self._factor: dict[Triple, float] = {}
 
     def choose(self, t: Triple, others: Iterable[Triple]) -> tuple[object | None, bool]:
         """(best reduction or None, the pattern is known to be empty)."""
         best = None
         p1 = self.encode(t.p)
         for kind, u in _neighbours(t, others):
-            r = self.stats.get((p1, self.encode(u.p), kind))
-            if r is None:  # never looked at: nothing is known
-                continue
-            if r["n_tuples"] == 0:
-                return None, True
-            if r["materialised"] and r["sf"] <= self.threshold and r["sf"] < 1 and (best is None or r["sf"] < best["sf"]):
+            p2 = self.encode(u.p)
+            r = self.stats.get((p1, p2, kind))
+            if r is None:
+                if any(kind in k and p1 in a and p2 in b for k, a, b in self.covered) and not (p1 == p2 and kind in ("ss", "oo")):
+                    return None, True
+                continue  # never looked at: nothing is known
+            if r["build"] is not None and r["sf"] <= self.threshold and r["sf"] < 1 and (best is None or r["sf"] < best["sf"]):
                 best = r
         return best, False
 
     def estimate(self, t: Triple) -> float:
-        return super().estimate(t) * self._factor.get(t, 1.0) if hasattr(self, "_factor") else super().estimate(t)
+        return super().estimate(t) * self._factor.get(t, 1.0)
 
     def bgp(self, triples: tuple[Triple, ...]) -> Solution:
         chosen: dict[Triple, object | None] = {}
@@ -213,6 +272,6 @@ class Reductions(Layout):
     def reduced(self, t: Triple, r) -> Solution:
         if r is None:
             return self.scan(t)
-        rows = self.store.spark.read.schema(SO).parquet(f"{self.store.path}/{REDUCED}/r={r['id']}")
+        rows = self.store.spark.read.schema(SO).parquet(f"{self.store.path}/{REDUCED}/{r['build']}/r={r['id']}")
         ends: list[tuple[Term, str]] = [(t.s, "s"), (t.o, "o")]
         return self.pattern(rows, ends)

@@ -73,6 +73,13 @@ def expr_vars(e: Expr) -> set[str]:
     return set()
 
 
+def exists_in(e: Expr) -> list[Exists]:
+    """The EXISTS of an expression, from left to right."""
+    if isinstance(e, Exists):
+        return [e]
+    return [x for a in e.args for x in exists_in(a)] if isinstance(e, Call) else []
+
+
 # operators
 
 
@@ -83,8 +90,11 @@ class BGP:
 
 @dataclass(frozen=True)
 class Join:
+    """on: pairs of a left and a right variable that a filter above wants to be equal. They help to join; the filter decides."""
+
     left: Op
     right: Op
+    on: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -171,8 +181,11 @@ Op = BGP | Join | LeftJoin | Union | Minus | Filter | Extend | Values | Group |
 
 @dataclass
 class Query:
+    """shown: the written names of variables that differ from another one by case alone; inside they have a name of their own."""
+
     op: Op
     prefixes: dict[str, str] = field(default_factory=dict)
+    shown: dict[str, str] = field(default_factory=dict)
 
 
 def in_scope(op: Op) -> list[str]:
@@ -192,6 +205,29 @@ def in_scope(op: Op) -> list[str]:
     return in_scope(op.child)
 
 
+def outer_vars(op: Op) -> set[str]:
+    """Variables that an expression of op looks at although nothing below binds them: inside EXISTS they are those around it."""
+
+    def of(expressions, scope: set[str]) -> set[str]:
+        out: set[str] = set()
+        for e in expressions:
+            out |= expr_vars(e) - scope
+            for x in exists_in(e):
+                out |= (outer_vars(x.pattern) | set(in_scope(x.pattern))) - scope
+        return out
+
+    if isinstance(op, BGP | Values):
+        return set()
+    if isinstance(op, Filter):
+        return outer_vars(op.child) | of([op.condition], set(in_scope(op.child)))
+    if isinstance(op, LeftJoin):
+        return outer_vars(op.left) | outer_vars(op.right) | of(op.conditions, set(in_scope(op)))
+    if isinstance(op, Join | Union | Minus):
+        return outer_vars(op.left) | outer_vars(op.right)
+    own = {Extend: lambda: [op.expr], OrderBy: lambda: [e for e, _ in op.keys], Group: lambda: [a for _, a in op.aggregates]}.get(type(op), list)()
+    return outer_vars(op.child) | of(own, set(in_scope(op.child)))
+
+
 def pretty(op: Op, depth: int = 0) -> str:
     """An indented listing of the operator tree."""
     pad = "  " * depth

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from graphloom.functions.terms import Prefixes
 
 SPO = ST.StructType([ST.StructField(c, ST.StringType()) for c in ("s", "p", "o")])
 SO = ST.StructType([ST.StructField(c, ST.StringType()) for c in ("s", "o")])
+META = "meta"
 
 
 @dataclass(frozen=True)
@@ -34,12 +36,66 @@ def column_name(term: str, ordinal: int) -> str:
     return re.sub(r"\W+", "_", term.strip("<>")).strip("_").lower() + f"_{ordinal}"
 
 
-class GraphStore:
-    """The folder of one graph. What is known of its predicates is read once, when the store is opened."""
+class Folder:
+    """What is done with paths below a folder, through Hadoop's file systems."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        meta = json.loads(spark.read.text(f"{self.path}/meta", wholetext=True).first()[0])
+
+    def _at(self, name: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
+
+    def exists(self, name: str) -> bool:
+        fs, at = self._at(name)
+        return fs.exists(at)
+
+    def complete(self, name: str) -> bool:
+        """A job has written it to its end."""
+        return self.exists(f"{name}/_SUCCESS")
+
+    def delete(self, name: str) -> None:
+        fs, at = self._at(name)
+        fs.delete(at, True)
+
+    def names(self, name: str) -> list[str]:
+        fs, at = self._at(name)
+        return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+    def latest(self, name: str) -> str | None:
+        """The complete version of what publish() writes with the highest number."""
+        done = [v for v in self.names(name) if v.isdigit() and self.complete(f"{name}/{v}")]
+        return f"{name}/{max(done, key=int)}" if done else None
+
+    def publish(self, rows: DataFrame, name: str, form: str = "parquet") -> None:
+        """Write rows as the next version of name. Readers see it when its job has ended, and until then the one before.
+
+        A version that a crash has left unfinished keeps its number and is never read.
+        """
+        taken = [int(v) for v in self.names(name) if v.isdigit()]
+        number = 1 + max(taken, default=0)
+        rows.write.format(form).save(f"{self.path}/{name}/{number:08d}")
+        for v in self.names(name):
+            if v.isdigit() and int(v) < number:
+                self.delete(f"{name}/{v}")
+
+
+class GraphStore:
+    """The folder of one graph. What is known of its predicates is read once, when the store is opened.
+
+    ``root`` has the versions of the catalog; the newest names the data folder, ``path``, that holds the
+    triples and the layouts built from them. A graph that is overwritten gets a new data folder, so no
+    layout of the one before can answer for it, and readers switch with the catalog.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        version = Folder(spark, self.root).latest(META)
+        if version is None:
+            raise FileNotFoundError(f"no graph in {root}")
+        meta = json.loads(spark.read.text(f"{self.root}/{version}", wholetext=True).first()[0])
+        self.path = f"{self.root}/{meta['data']}"
+        self.folder = Folder(spark, self.path)
         self.prefixes = Prefixes(meta["prefixes"])
         self.predicates = {p["term"]: Predicate(**p) for p in meta["predicates"]}
 
@@ -49,14 +105,19 @@ class GraphStore:
 
         mode is a writer's mode: errorifexists, overwrite or ignore.
         """
-        spark, path = triples.sparkSession, path.rstrip("/")
+        spark, root = triples.sparkSession, path.rstrip("/")
         prefixes = prefixes or Prefixes()
-        if mode == "ignore" and exists(spark, f"{path}/meta"):
-            return GraphStore(spark, path)
+        top = Folder(spark, root)
+        if top.latest(META) is not None:
+            if mode == "ignore":
+                return GraphStore(spark, root)
+            if mode == "errorifexists":
+                raise FileExistsError(f"there is a graph in {root}")
+        data = f"graph-{uuid.uuid4().hex}"
         # a task writes the rows of few predicates, so that a partition has few files; the salt spreads a frequent one
         spread = F.pmod(F.xxhash64("s"), F.lit(16))
-        triples.select("s", "o", "p").repartition("p", spread).write.mode(mode).partitionBy("p").parquet(f"{path}/triples")
-        rows = spark.read.schema(SPO).parquet(f"{path}/triples")
+        triples.select("s", "o", "p").repartition("p", spread).write.partitionBy("p").parquet(f"{root}/{data}/triples")
+        rows = spark.read.schema(SPO).parquet(f"{root}/{data}/triples")
         pairs = rows.groupBy("p", "s").agg(F.count("*").alias("n"))
         by_s = pairs.groupBy("p").agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.count("*").alias("subjects"))
         by_o = rows.groupBy("p", "o").count().groupBy("p").agg(F.count("*").alias("objects"))
@@ -64,9 +125,12 @@ class GraphStore:
         predicates = [
             Predicate(r["p"], i, column_name(r["p"], i), r["rows"], r["most"] > 1, r["subjects"], r["objects"]) for i, r in enumerate(found)
         ]
-        meta = {"prefixes": prefixes.by_prefix, "predicates": [asdict(p) for p in predicates]}
-        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
-        return GraphStore(spark, path)
+        meta = {"data": data, "prefixes": prefixes.by_prefix, "predicates": [asdict(p) for p in predicates]}
+        top.publish(spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1), META, "text")
+        for name in top.names(""):
+            if name.startswith("graph-") and name != data:
+                top.delete(name)
+        return GraphStore(spark, root)
 
     def triples(self) -> DataFrame:
         return self.spark.read.schema(SPO).parquet(f"{self.path}/triples")
@@ -82,13 +146,27 @@ class GraphStore:
         return reader.parquet(f"{self.path}/{name}")
 
     def has(self, name: str) -> bool:
-        return exists(self.spark, f"{self.path}/{name}/_SUCCESS")
+        return self.folder.complete(name)
 
     def drop(self, name: str) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+        self.folder.delete(name)
+
+    def write(self, rows: DataFrame, name: str, mode: str = "errorifexists", partition: str | None = None) -> None:
+        """Write a layout's table. What a crash has left of an earlier attempt goes first."""
+        if self.has(name):
+            if mode == "ignore":
+                return
+            if mode != "overwrite":
+                raise FileExistsError(f"{name} is there already")
+        self.drop(name)
+        writer = rows.write.partitionBy(partition) if partition else rows.write
+        writer.parquet(f"{self.path}/{name}")
+
+    def compute_stats(self, database: str, table: str = "triples") -> DataFrame:
+        """Register the triple table in Spark's catalog and ANALYZE it, for its optimizer; returns what is known of its columns."""
+        name = f"`{database}`.`{table}`"
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.spark.catalog.createTable(f"{database}.{table}", path=f"{self.path}/triples", source="parquet", schema=ST.StructType([SPO["s"], SPO["o"], SPO["p"]]))
+        self.spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
+        return self.spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Statistics'")
