@@ -35,12 +35,14 @@ def run_files(
     report: str | None = None,
     prefix: str = "",
     explain: bool = False,
+    expand: bool = False,
 ) -> list[Report]:
     """Run every file in turn.
 
     count: only count rows. benchmark: run into no sink. output: a folder that gets a Parquet table
     per query. report: a file that gets a JSON line per query. explain: a .log file with algebra and
-    plan beside each query, nothing is run. The time is that of the query alone.
+    plan beside each query, nothing is run. expand: full IRIs in results. The time is that of the
+    query alone.
     """
     out = []
     for f in query_files(path):
@@ -50,7 +52,7 @@ def run_files(
             continue
         rows: int | None = None
         began = time.perf_counter()
-        df = engine.query(text)
+        df = engine.expanded(text) if expand else engine.query(text)
         if count:
             rows = df.count()
         elif benchmark or output is None:

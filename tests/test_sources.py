@@ -1,7 +1,10 @@
 import json
 
+import pytest
+
 from graphloom.__main__ import main
 from graphloom.functions.terms import Prefixes
+from graphloom.storage import GraphStore
 from graphloom.sources.ntriples import load_text, read_ntriples, read_prefixes
 
 
@@ -15,11 +18,25 @@ def test_ntriples(spark, tmp_path):
         '<http://a> <http://p> "v \\" \\t."@en .\n# note\n\n_:b <http://p> "5"^^<http://i> .  # end\n'
         "<http://a> <http://p> <http://c> .\n<http://a> <http://p> <http://c>.\nbroken line\n"
     )
-    assert got(read_ntriples(spark, str(f))) == [
+    assert got(read_ntriples(spark, str(f), "skip")) == [
         ("<http://a>", "<http://p>", '"v \\" \\t."@en'), ("<http://a>", "<http://p>", "<http://c>"),
         ("<http://a>", "<http://p>", "<http://c>"), ("_:b", "<http://p>", '"5"^^<http://i>'),
     ]
-    assert len(got(load_text(spark, str(f)))) == 3
+    assert len(got(load_text(spark, str(f), malformed="skip"))) == 3
+    with pytest.raises(Exception, match="malformed line: broken line"):
+        got(read_ntriples(spark, str(f)))
+    with pytest.raises(ValueError):
+        read_ntriples(spark, str(f), "hide")
+
+
+def test_ntriples_escapes_have_one_spelling(spark, tmp_path):
+    f = tmp_path / "x.nt"
+    pairs = [
+        (r'"caf\u00E9"', '"café"'), (r'"\U0001F600\'\b\f"@EN-gb', '"\U0001F600\'\b\f"@en-gb'), (r'"a\u0022\u005C\u000A"', r'"a\"\\\n"'),
+        (r'"\\u0041"', r'"\\u0041"'), ('"raw\ttab"', r'"raw\ttab"'), (r"<http://e/\u00e9>", "<http://e/é>"), (r'"1"^^<http://e/\u0041>', '"1"^^<http://e/A>'),
+    ]
+    f.write_text("".join(f"<http://s/{i}> <http://p> {written} .\n" for i, (written, _) in enumerate(pairs)))
+    assert [r["o"] for r in read_ntriples(spark, str(f)).orderBy("s").collect()] == [meant for _, meant in pairs]
 
 
 def test_delimited_dots_prefixes(spark, tmp_path):
@@ -60,3 +77,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert "== Algebra ==" in (queries / "a.log").read_text()
     main(["query", "-d", str(tmp_path / "tt"), "-i", str(queries), "-f", "tt", "-o", str(tmp_path / "out"), "-rn", "r_"])
     assert spark.read.parquet(str(tmp_path / "out" / "r_a")).count() == 1
+
+
+def test_command_line_options(spark, tmp_path, capsys):
+    rows = [("<http://e/1>", "<http://e/p>", "<http://e/2>"), ("<http://e/1>", "<http://e/p>", "<http://e/2>"), ("<http://e/2>", "<http://e/q>", '"x"')]
+    spark.createDataFrame(rows, "sub string, pre string, ob string").write.parquet(str(tmp_path / "in"))
+    (tmp_path / "prefixes").write_text("e: <http://e/>\n")
+    (tmp_path / "a.sparql").write_text("PREFIX e: <http://e/> SELECT ?x ?y { ?x e:p ?y }")
+    load = ["load", "-i", str(tmp_path / "in"), "--parquet", "-cs", "sub", "-cp", "pre", "-co", "ob", "-P", str(tmp_path / "prefixes"), "-S"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert main([*load, "-d", str(tmp_path / "u"), "-f", "st", "-u", "-k", "--codec", "zstd"]) == 0
+    assert json.loads(capsys.readouterr().out)["triples"] == 2
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    store = GraphStore(spark, str(tmp_path / "u"))
+    assert store.has("term_profile") and any(".zstd" in n for n in store.folder.names("term_profile"))
+    assert main([*load, "-d", str(tmp_path / "all"), "-f", "tt"]) == 0  # as in the input: no -u
+    assert json.loads(capsys.readouterr().out)["triples"] == 3
+    out = str(tmp_path / "out")
+    main(["query", "-d", str(tmp_path / "u"), "-i", str(tmp_path / "a.sparql"), "-f", "st", "-o", out, "-e", "-S", "--set", "spark.sql.shuffle.partitions=2"])
+    assert got(spark.read.parquet(f"{out}/a")) == [("<http://e/1>", "<http://e/2>")]
