@@ -10,7 +10,10 @@ from graphloom import workload
 SF = "/root/testdata/sf0.001"
 NAMES = ["bgp_snowflake", "bgp_same_predicate_twice", "filter_cast", "optional_filter", "group_aggregates", "order_limit",
          "layout_pt_bgp_snowflake", "layout_cpt_bgp_multivalued_var", "layout_st_bgp_linear", "layout_xvp_bgp_snowflake",
-         "load_properties", "load_reduction_os_sizes"]
+         "load_properties", "load_reduction_os_sizes", "distinct_order_limit", "distinct_order_hidden_key", "exists_correlated",
+         "not_exists_correlated", "exists_equal_outer", "exists_or", "optional_exists", "optional_shared_unbound", "var_equality_by_value",
+         "max_optional", "min_optional_text", "avg_empty", "sum_of_texts", "vars_by_case", "number_lexical", "load_ntriples",
+         "load_ntriples_all", "load_delimited", "load_reduction_stats", "resume_reductions", "prefixes_expanded"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 
