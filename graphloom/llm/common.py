@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +16,20 @@ WHITE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bits a key and hash functions of a Bloom filter: about one false positive in 50.
+BITS, HASHES = 8, 4
+#: A filter has no more 64-bit words than this (64 MB).
+MOST_WORDS = 2**23
+
 _folders: dict[str, str] = {}
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors and the driver see.
 
-    It is the one that ``spark.checkpoint.dir`` names. Only where that is unset, as in tests,
-    a temporary folder of this machine is taken.
+    It is the one that ``spark.checkpoint.dir`` names. Only where that is unset and all tasks run
+    in this process, as in tests, a temporary folder of this machine is taken.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -30,9 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
+        elif not (sc.master or "").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         else:
-            base = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-            sc.setCheckpointDir(base)
+            if sc.applicationId not in _own:
+                _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+            base = _own[sc.applicationId]
     return base.rstrip("/")
 
 
@@ -62,7 +72,16 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gl_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove what cut() has written, once everything that reads it has been written itself."""
+    for df in tables:
+        if (path := getattr(df, "_gl_path", None)) is not None:
+            remove(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,3 +123,53 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, spread
     left = left.join(hot, key, "left").withColumn("__gl_salt", salt).drop("__gl_hot")
     right = right.join(hot, key, "left").withColumn("__gl_salt", F.explode(many)).drop("__gl_hot")
     return left.join(right, [key, "__gl_salt"]).drop("__gl_salt")
+
+
+def cells(key: Column, level: int, words: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(words * 64)) for i in range(hashes)]
+
+
+def bloom_words(keys: DataFrame, level: int, words: int, hashes: int = HASHES) -> DataFrame:
+    """A Bloom filter of keys(key) as one row with an array of ``words`` longs."""
+    bits = keys.select(F.explode(F.array(*cells(F.col("key"), level, words, hashes))).alias("cell"))
+    bit = F.expr("shiftleft(1L, cast(cell % 64 as int))")
+    set_words = bits.groupBy(F.floor(F.col("cell") / 64).alias("at")).agg(F.bit_or(bit).alias("bits"))
+    all_words = keys.sparkSession.range(words).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
+    dense = set_words.unionByName(all_words).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    in_order = F.array_sort(F.collect_list(F.struct("at", "bits")))
+    return dense.agg(F.transform(in_order, lambda x: x["bits"]).alias("words"))
+
+
+def passes(key: Column, at: int, level: tuple[DataFrame, int, int]) -> Column:
+    """The filter (row of words, number of words, hash functions) of a level may hold the key."""
+    df, words, hashes = level
+    bits = df.scalar()
+    tests = [
+        F.get(bits, F.floor(c / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (c % 64).cast("int"))) != 0
+        for c in cells(key, at, words, hashes)
+    ]
+    return reduce(Column.__and__, tests)
+
+
+class Few:
+    """Which rows of a large table may meet a smaller one, told by a Bloom filter of its keys.
+
+    Large rows that can't meet anything needn't be shuffled for a join. The filter has 8 bits a
+    key up to 64 MB; past that it fills up and more rows take the way of the join, which is right
+    for every row.
+    """
+
+    def __init__(self, keys: DataFrame, column: Column) -> None:
+        self.n = keys.count()
+        words = min(MOST_WORDS, max(1, -(-self.n * BITS // 64)))
+        self.level = (cut(bloom_words(keys.select(self.key(column).alias("key")), 0, words), "few"), words, HASHES)
+
+    @staticmethod
+    def key(column: Column) -> Column:
+        """A null is a key like others."""
+        return F.coalesce(column.cast("string"), F.lit("null"))
+
+    def split(self, rows: DataFrame, column: Column) -> tuple[DataFrame, DataFrame]:
+        """(the rows that may meet a key, the rows that surely don't)."""
+        may = passes(self.key(column), 0, self.level)
+        return rows.where(may), rows.where(~may)

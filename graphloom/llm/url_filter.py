@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower, cut, table
+from graphloom.llm.common import BITS, HASHES, MOST_WORDS, Few, ascii_lower, bloom_words, cut, heavy, join_hot, passes, table
 
 #: (rule, verdict): host, then path from its first slash on.
 RULES = (
@@ -26,10 +26,8 @@ BLOCKED = (
     "free-bets.example.com",
     "spam-farm.example.org",
 )
-#: Bits a key and hash functions of a level: about one false positive in 50.
-BITS, HASHES = 8, 4
-#: A level has no more 64-bit words than this (64 MB); longer lists are matched by a shuffle join.
-MOST_WORDS = 2**23
+#: Kinds of keys, each a column, that the cascade is asked for at most.
+MOST_SHAPES = 64
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -41,77 +39,61 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def _split_rule(rule: str) -> tuple[str, str]:
-    host, slash, path = rule.partition("/")
-    return host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), slash + path
+def _lower(text: str) -> str:
+    return text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-@dataclass(frozen=True)
-class KeyShape:
-    """Which keys of a url can be in the lists at all: their label counts and path lengths."""
-
-    labels: tuple[int, ...]
-    paths: tuple[int, ...]
-    domain_labels: tuple[int, ...]
-
-    @staticmethod
-    def of(rules: list[str], domains: list[str]) -> KeyShape:
-        pairs = [_split_rule(r) for r in rules]
-        count = lambda host: host.count(".") + 1
-        return KeyShape(
-            tuple(sorted({count(h) for h, _ in pairs})),
-            tuple(sorted({len(p) for _, p in pairs})),
-            tuple(sorted({count(d) for d in domains})),
-        )
-
-    def keys(self, host: Column, path: Column) -> list[Column]:
-        """All keys of a url, rule keys "r" + host suffix + path prefix and domain keys "d" + suffix."""
-        labels = F.split(host, r"\.")
+def rule_table(spark: SparkSession, rules: tuple[tuple[str, str], ...]) -> DataFrame:
+    """A short list of (rule, verdict) as a table, from literals."""
+    if not rules:
+        return spark.range(0).select(F.lit("").alias("rule"), F.lit("").alias("verdict"))
+    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for r, v in rules])
+    return spark.range(1).select(F.explode(rows).alias("x")).select("x.*")
 
-        def suffix(n: int) -> Column:
-            return F.when(F.size(labels) >= n, F.substring_index(host, ".", -n))
 
-        out = [
-            F.when(F.length(path) >= p, F.concat(F.lit("r"), suffix(n), F.substring(path, 1, p)))
-            for n in self.labels
-            for p in self.paths
-        ]
-        out += [F.concat(F.lit("d"), suffix(n)) for n in self.domain_labels]
-        return out
+def domain_table(spark: SparkSession, domains: tuple[str, ...]) -> DataFrame:
+    if not domains:
+        return spark.range(0).select(F.lit("").alias("domain"))
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, domains))).alias("domain"))
 
 
-def _array(keys: list[Column]) -> Column:
-    return F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")
+def listed_keys(rules: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(key, kind, labels, path_length) of rules(rule, verdict) and blocked(domain); a null is no entry.
 
+    A rule's key is a or b, for allow or block, then its host, lower-cased, and its path; a domain's
+    is d and the domain. So a key's membership tells the verdict, and no table has to be looked up.
+    """
+    host, path = F.substring_index("rule", "/", 1), F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1)
+    kind = F.when(F.col("verdict") == "allow", "a").when(F.col("verdict") == "block", "b").otherwise(F.raise_error(F.lit("a verdict is allow or block")))
+    own = rules.where("rule is not null").select(kind.alias("kind"), ascii_lower(host).alias("host"), path.alias("path"))
+    own = own.unionByName(blocked.where("domain is not null").select(F.lit("d").alias("kind"), ascii_lower(F.col("domain")).alias("host"), F.lit("").alias("path")))
+    labels = F.size(F.split("host", r"\."))
+    return own.select(F.concat("kind", "host", "path").alias("key"), "kind", labels.alias("labels"), F.length("path").alias("path_length"))
 
-def _cells(key: Column, level: int, words: int, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(words * 64)) for i in range(hashes)]
 
+@dataclass(frozen=True)
+class KeyShape:
+    """Which keys of a url can be in the lists at all: kinds, numbers of labels and lengths of paths that entries have."""
 
-def bloom_words(keys: DataFrame, level: int, words: int, hashes: int = HASHES) -> DataFrame:
-    """A Bloom filter of keys(key) as one row with an array of ``words`` longs."""
-    cells = keys.select(F.explode(F.array(*_cells(F.col("key"), level, words, hashes))).alias("cell"))
-    bit = F.expr("shiftleft(1L, cast(cell % 64 as int))")
-    set_words = cells.groupBy(F.floor(F.col("cell") / 64).alias("at")).agg(F.bit_or(bit).alias("bits"))
-    all_words = keys.sparkSession.range(words).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("bits"))
-    dense = set_words.unionByName(all_words).groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    in_order = F.array_sort(F.collect_list(F.struct("at", "bits")))
-    return dense.agg(F.transform(in_order, lambda x: x["bits"]).alias("words"))
+    shapes: tuple[tuple[str, int, int], ...]
 
+    @staticmethod
+    def of(listed: DataFrame, most: int) -> KeyShape | None:
+        """The shapes of listed_keys(), or None if there are more than ``most``."""
+        found = listed.select("kind", "labels", "path_length").distinct().limit(most + 1).collect()
+        return KeyShape(tuple(sorted(tuple(r) for r in found))) if len(found) <= most else None
 
-def passes(key: Column, at: int, level: tuple[DataFrame, int, int]) -> Column:
-    """The filter (row of words, number of words, hash functions) of a level may hold the key."""
-    df, words, hashes = level
-    bits = df.scalar()
-    tests = [
-        F.get(bits, F.floor(c / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (c % 64).cast("int"))) != 0
-        for c in _cells(key, at, words, hashes)
-    ]
-    return reduce(Column.__and__, tests)
+    def keys(self, host: Column, path: Column) -> list[Column]:
+        """The url's key of each shape, null where it is too short for it."""
+        n_labels = F.size(F.split(host, r"\."))
+        return [
+            F.when((n_labels >= n) & (F.length(path) >= p), F.concat(F.lit(kind), F.substring_index(host, ".", -n), F.substring(path, 1, p)))
+            for kind, n, p in self.shapes
+        ]
 
 
 class BloomCascade:
-    """Exact membership in a list for every key of a known universe.
+    """Exact membership in a list for every key of a known universe, the corpus's own keys.
 
     Level 0 encodes the listed keys. Level 1 encodes the other universe keys that pass level 0,
     level 2 the listed keys that pass level 1, and so on until no key passes wrongly. A key's
@@ -150,55 +132,93 @@ class BloomCascade:
 
 def filter_urls(
     pages: DataFrame,
-    rules: tuple[tuple[str, str], ...] = RULES,
-    blocked: tuple[str, ...] = BLOCKED,
+    rules: DataFrame | tuple[tuple[str, str], ...] = RULES,
+    blocked: DataFrame | tuple[str, ...] = BLOCKED,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
     """For each row: page_id, host, path, rule, verdict, listed_domain.
 
-    A rule fits its host and all subdomains if the path starts with the rule's path; the longest
-    fitting rule gives the verdict. Where none fits, the list decides: block if the host or a
-    parent domain of it is listed, else allow. A url that is null or without :// has an empty host
-    and path; no rule or list fits it. Repeated rows are judged one by one. All keys that the
-    corpus could look up are the cascade's universe, so its answers are exact. A list so long
-    that a level would pass MOST_WORDS raises; ``filter_urls_joined`` is the way then.
+    rules(rule, verdict) and blocked(domain) are tables of any length, or short tuples. A rule fits
+    its host and all subdomains if the path starts with the rule's path; the longest fitting rule
+    gives the verdict, block if it is listed with both. Where none fits, the list decides: block if
+    the host or a parent domain of it is listed, else allow; of several such domains listed_domain
+    is the first in order. A url that is null or without :// has an empty host and path; no rule or
+    list fits it. Repeated rows are judged one by one, an empty table gives an empty result, and other
+    columns aren't read.
+
+    All keys that the corpus could look up are the cascade's universe, so its answers are exact. If
+    a level would pass MOST_WORDS, or the lists have more than MOST_SHAPES kinds of keys, each of
+    which is a column of the plan, ``filter_urls_joined`` answers instead.
     """
     spark = pages.sparkSession
-    listed_keys = ["r" + "".join(_split_rule(r)) for r, _ in rules] + ["d" + d for d in blocked]
-    shape = KeyShape.of([r for r, _ in rules], list(blocked))
+    rules = rules if isinstance(rules, DataFrame) else rule_table(spark, rules)
+    blocked = blocked if isinstance(blocked, DataFrame) else domain_table(spark, blocked)
+    listed = listed_keys(rules, blocked)
+    shape = KeyShape.of(listed, MOST_SHAPES)
+    if shape is None:
+        return filter_urls_joined(pages, rules, blocked, id_col, url_col)
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     keys = shape.keys(F.col("host"), F.col("path"))
-    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, listed_keys))).alias("key"))
-    cascade = BloomCascade.build(listed, rows.select(F.explode(_array(keys)).alias("key")))
-    hits = _array([F.when(cascade.contains(k), k) for k in keys])
-    return _judge(rows.withColumn("hits", hits), rules)
+    if not keys:
+        return _judge(rows, F.lit(None).cast(_RULE), F.lit(None).cast("string"))
+    universe = rows.select(F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    try:
+        cascade = BloomCascade.build(listed, universe)
+    except OverflowError:
+        return filter_urls_joined(pages, rules, blocked, id_col, url_col)
+    hits = rows.withColumn("hits", F.array_compact(F.array(*[F.when(cascade.contains(k), k) for k in keys])))
+    is_domain = lambda k: F.startswith(k, F.lit("d"))
+    best = F.array_max(F.transform(F.filter("hits", lambda k: ~is_domain(k)), _fitting))
+    return _judge(hits, best, F.substring(F.array_min(F.filter("hits", is_domain)), 2, _LONG))
+
+
+_LONG = 2**30
+_RULE = "struct<n:int,block:boolean,rule:string>"
+
 
+def _fitting(key: Column) -> Column:
+    """What makes one fitting rule go before another: its length, then block."""
+    rule = F.substring(key, 2, _LONG)
+    return F.struct(F.length(rule).alias("n"), F.startswith(key, F.lit("b")).alias("block"), rule.alias("rule"))
 
-def filter_urls_joined(pages: DataFrame, listed: DataFrame, shape: KeyShape, rules: tuple[tuple[str, str], ...], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """The same from a table listed(key) of any length, by a shuffle join on the distinct keys."""
+
+def filter_urls_joined(pages: DataFrame, rules: DataFrame, blocked: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """The same by a shuffle join on the keys that the lists may have, for lists of any shape and length.
+
+    A url's keys are its host's suffixes with those prefixes of its path that some rule has the length
+    of. Keys that a thousandth of the rows have are dealt to several tasks.
+    """
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = cut(rows, "url-rows")
-    keys = rows.select("row", F.explode(_array(shape.keys(F.col("host"), F.col("path")))).alias("key"))
-    hits = keys.join(listed.select("key").distinct(), "key").groupBy("row").agg(F.collect_list("key").alias("hits"))
-    joined = rows.join(hits, "row", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
-    return _judge(joined, rules)
-
-
-def _judge(keyed: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
-    fit = F.filter("hits", lambda k: F.startswith(k, F.lit("r")))
-    longest = F.substring(F.array_max(F.transform(fit, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"], 2, 2**30)
-    domain = F.array_min(F.filter("hits", lambda k: F.startswith(k, F.lit("d"))))
-    out = keyed.withColumn("rule", longest).withColumn("listed_domain", F.substring(domain, 2, 2**30))
-    verdict = F.when(F.col("rule").isNull(), F.when(F.col("listed_domain").isNotNull(), "block").otherwise("allow"))
-    for rule, says in rules:
-        verdict = verdict.when(F.col("rule") == "".join(_split_rule(rule)), says)
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed_domain")
+    listed = cut(listed_keys(rules, blocked).dropDuplicates(["key"]), "url-listed")
+    # one row a kind and number of labels, with the lengths of paths: no more than 381 of them
+    shapes = listed.groupBy("kind", "labels").agg(F.collect_set("path_length").alias("lengths")).agg(F.collect_list(F.struct("kind", "labels", "lengths")).alias("shapes"))
+    there = F.broadcast(cut(shapes, "url-shapes"))
+    each = rows.join(there, F.lit(True)).select("row", "host", "path", F.explode("shapes").alias("x")).where(F.size(F.split("host", r"\.")) >= F.col("x.labels"))
+    each = each.select("row", "host", "path", "x.kind", "x.labels", F.explode("x.lengths").alias("n")).where(F.length("path") >= F.col("n"))
+    keys = each.select("row", F.concat("kind", F.expr("substring_index(host, '.', -labels)"), F.expr("substring(path, 1, n)")).alias("key"))
+    known = cut(Few(listed, F.col("key")).split(keys, F.col("key"))[0], "url-keys")
+    hot = cut(heavy(known.groupBy("key").count(), "count", known.count()).select("key"), "url-hot")
+    hits = join_hot(known, listed.select("key"), "key", hot, "row")
+    rule = F.when(~F.startswith("key", F.lit("d")), _fitting(F.col("key")))
+    domain = F.when(F.startswith("key", F.lit("d")), F.substring("key", 2, _LONG))
+    found = hits.groupBy("row").agg(F.max(rule).alias("best"), F.min(domain).alias("domain"))
+    return _judge(rows.join(found, "row", "left"), F.col("best"), F.col("domain"))
+
+
+def _judge(rows: DataFrame, best: Column, domain: Column) -> DataFrame:
+    """The verdict from the best fitting rule and the listed domain."""
+    out = rows.withColumn("best", best).withColumn("listed_domain", domain)
+    listed = F.when(F.col("listed_domain").isNotNull(), "block").otherwise("allow")
+    verdict = F.when(F.col("best").isNull(), listed).when(F.col("best.block"), "block").otherwise("allow")
+    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "listed_domain")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """filter_urls on pages by the contract's rules and the example list of domains."""
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
