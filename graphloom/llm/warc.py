@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, heavy, remove, scratch, table, text_of
+from graphloom.llm.common import Few, cut, heavy, remove, scratch, table, text_of
 from graphloom.llm.files import open_fs, published
 
 #: Equal payloads of at least so many bytes are written once; the others revisit the first.
@@ -37,6 +37,7 @@ def sha1_base32(data: bytes) -> str:
 def first_holders(pages: DataFrame, id_col: str, payload: Column, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """pages with the column first: the smallest id among equal payloads, where there is more than one.
 
+    Only pages whose digest may be repeated, told by a Bloom filter, are shuffled with their payload.
     Digests with more than a thousandth of the rows are dealt with a salt; only their list, a
     thousand at most, is broadcast.
     """
@@ -44,13 +45,18 @@ def first_holders(pages: DataFrame, id_col: str, payload: Column, least_bytes: i
     groups = pages.where(F.octet_length(payload) >= least_bytes).groupBy(digest.alias("__gl_digest"))
     groups = cut(groups.agg(F.min(id_col).alias("__gl_first"), F.count("*").alias("__gl_size")).where("__gl_size > 1"), "warc-groups")
     total = groups.agg(F.sum("__gl_size")).first()[0] or 0
+    repeated = Few(groups, F.col("__gl_digest"))
     hot = F.broadcast(heavy(groups, "__gl_size", total).select("__gl_digest", F.lit(True).alias("__gl_hot")))
     salts = F.when(F.col("__gl_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     groups = groups.join(hot, "__gl_digest", "left").select("__gl_digest", "__gl_first", F.explode(salts).alias("__gl_salt"))
-    rows = pages.withColumn("__gl_digest", digest).join(hot, "__gl_digest", "left")
+    rows = pages.withColumn("__gl_digest", digest)
+    rows, alone = repeated.split(rows, F.col("__gl_digest"))
+    alone = alone.select(*pages.columns, F.lit(None).cast(pages.schema[id_col].dataType).alias("first"))
+    rows = rows.join(hot, "__gl_digest", "left")
     salt = F.when(F.col("__gl_hot"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).otherwise(0)
     rows = rows.withColumn("__gl_salt", salt)
-    return rows.join(groups, ["__gl_digest", "__gl_salt"], "left").withColumn("first", F.col("__gl_first"))
+    found = rows.join(groups, ["__gl_digest", "__gl_salt"], "left").withColumn("first", F.col("__gl_first"))
+    return found.select(*pages.columns, "first").unionByName(alone)
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -246,7 +252,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     source, folder = scratch(spark, "warc-raw"), scratch(spark, "warc")
     files = cut(write_monolithic(rows, source), "warc-files")
     n = max(1, files.count())
-    done = cut(normalise(files.repartition(n, "file"), source, folder), "warc-normalised")
+    done = cut(normalise(files.repartitionByRange(n, "file"), source, folder), "warc-normalised")
     some = done.count()
     remove(spark, source)
     if not some:
@@ -255,6 +261,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """archive_pages on pages, and what read_records finds in the archives."""
     index, folder = archive_pages(table(spark, sf_dir, "pages"))
     return read_records(index, folder)
 
