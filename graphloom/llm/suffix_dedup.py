@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, table, text_of
+from graphloom.llm.common import Few, cut, table
 
 #: Strings of this many bytes that occur earlier are removed.
 LENGTH = 100
@@ -26,15 +25,15 @@ CELLS, HASHES, MOST_CELLS = 8, 2, 2**29
 SHARD = 2**20
 #: Bytes of text whose anchors are found at once, suffixes of a run, and bytes of text for each range of the merge.
 CHUNK, RUN, RANGE_BYTES = 1 << 17, 200_000, 8 << 20
-#: Larger groups of one anchor are compared window by window in slices.
-LARGE_GROUP = 20_000
+#: Merged suffixes that are looked through at once; a group of one anchor is never cut.
+BATCH = 20_000
 _POSITION_BITS = 20
 _HEAD = 8
 _NO_ID = -(2**63)
 
 _rng = np.random.RandomState(77)
-_BYTE = _rng.randint(1, 2**63, (2, 256), dtype=np.uint64)
-_BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BYTE = _rng.randint(1, 2**63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
@@ -54,15 +53,15 @@ class _Powers:
         return self.up, self.down
 
 
-_POWERS = [_Powers(b) for b in _BASE]
+_POWERS = _Powers(_BASE)
 
 
-def rolling(data: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+def rolling(data: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of every ``length`` bytes in a row of data."""
     n = len(data)
-    up, down = _POWERS[which].of(n + 1)
+    up, down = _POWERS.of(n + 1)
     sums = np.zeros(n + 1, _U)
-    np.cumsum(_BYTE[which][data] * up[:n], out=sums[1:])
+    np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
     x = (sums[length:] - sums[: n - length + 1]) * down[: n - length + 1]
     x ^= x >> _U(32)
     x *= _U(0xBF58476D1CE4E5B9)
@@ -230,6 +229,8 @@ def front_code(keys: list[bytes]) -> np.ndarray:
     width = max(map(len, keys))
     lengths = np.fromiter(map(len, keys), np.int64, len(keys))
     out = np.zeros(len(keys), np.int64)
+    if not width:
+        return out
     for a in range(0, len(keys), 50_000):
         own = keys[max(0, a - 1) : a + 50_000]
         grid = np.frombuffer(b"".join(k.ljust(width, b"\0") for k in own), np.uint8).reshape(len(own), width)
@@ -383,40 +384,47 @@ def merge_runs(runs: list[Iterator[tuple[int, tuple]]]) -> Iterator[tuple[int, t
             node //= 2
 
 
-def repeated_windows(group: list[tuple[bytes, int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
-    """Stretches of the windows of different suffixes at one anchor that occur earlier in the group.
+def repeated_windows(lcp: list[int], suffixes: list[tuple[bytes, int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """Stretches of the windows of merged suffixes that occur earlier among them.
 
-    Windows are equal when two independent 64-bit hashes of their bytes are.
+    lcp is what each suffix shares with the one before in the merged order, so it tells the runs
+    of suffixes that agree in any number of bytes from the anchor on. The bytes before the
+    anchor, read backwards, are sorted and front-coded likewise. A window that starts d bytes
+    before its anchor equals another one exactly if both are in one run of 100 - d bytes from the
+    anchor on and in one run of d bytes before it. Of equal windows the earliest stays.
     """
-    group = sorted(group, key=lambda x: x[2:])
-    texts = [x[0][_HEAD + x[1] :][::-1] + x[0][_HEAD : _HEAD + x[1]] for x in group]
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    starts = np.cumsum(lengths) - lengths
-    h = [rolling(data, LENGTH, i) for i in (0, 1)]
-    count = lengths - LENGTH + 1
-    owner = np.repeat(np.arange(len(texts)), count)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    left = np.fromiter((len(x[0]) - _HEAD - x[1] for x in group), np.int64, len(group))
-    distance = left[owner] - nth  # from the window's start to the anchor: equal windows have it equal
-    gone = np.zeros(len(owner), bool)
-    slices = 1 if len(group) <= LARGE_GROUP else LENGTH - KMER + 1
-    for s in range(slices):
-        own = np.flatnonzero(distance % slices == s) if slices > 1 else np.arange(len(owner))
-        at = starts[owner[own]] + nth[own]
-        a, b = h[0][at], h[1][at]
-        order = np.lexsort((own, b, a))  # stable in the group's order: the earliest of equal windows is first
-        same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-        gone[own[order[1:][same]]] = True
-    hit = np.flatnonzero(gone)
-    if not len(hit):
-        return
-    cut_ = np.flatnonzero(np.append(True, (owner[hit][1:] != owner[hit][:-1]) | (hit[1:] != hit[:-1] + 1)))
-    for a, b in zip(cut_.tolist(), [*cut_[1:].tolist(), len(hit)], strict=True):
-        i, p, q = int(owner[hit[a]]), int(nth[hit[a]]), int(nth[hit[b - 1]])
-        _, _, doc, tag, place = group[i]
-        base = place - int(left[i])
-        yield doc, tag, base + p, base + q + LENGTH
+    n = len(suffixes)
+    right, doc, tag, place = (np.fromiter((x[i] for x in suffixes), np.int64, n) for i in (1, 2, 3, 4))
+    before = [x[0][_HEAD + x[1] :] for x in suffixes]
+    left = np.fromiter(map(len, before), np.int64, n)
+    onward = np.array(lcp, np.int64) - _HEAD
+    order = sorted(range(n), key=before.__getitem__)
+    backward = front_code([before[i] for i in order])
+    order = np.array(order)
+    earliest = np.lexsort((place, tag, doc))
+    changes = np.zeros(n, bool)
+    for c in (doc, tag, place):
+        changes[1:] |= c[earliest][1:] != c[earliest][:-1]
+    # rows that repeat an id and its text give one suffix twice, which isn't a repeat
+    own = np.empty(n, np.int64)
+    own[earliest] = np.cumsum(changes)
+    gone = np.zeros((n, LENGTH - KMER + 1), bool)
+    group = np.empty(n, np.int64)
+    for d in range(LENGTH - KMER + 1):
+        at = earliest[((right >= LENGTH - d) & (left >= d))[earliest]]
+        if len(at) < 2:
+            continue
+        group[order] = np.cumsum(backward < d)
+        both = (np.cumsum(onward < LENGTH - d) * (n + 1) + group)[at]
+        rank = np.argsort(both, kind="stable")
+        new = np.append(True, both[rank][1:] != both[rank][:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        at = at[rank]
+        gone[at[own[at] != own[at[first]]], d] = True
+    edges = np.diff(gone.astype(np.int8), axis=1, prepend=0, append=0)
+    row, low = np.nonzero(edges == 1)
+    high = np.nonzero(edges == -1)[1]  # in the same order: rows first, then distances
+    yield from zip(doc[row].tolist(), tag[row].tolist(), (place[row] - high + 1).tolist(), (place[row] - low + LENGTH).tolist(), strict=True)
 
 
 def merged_spans(runs: DataFrame, tasks: int) -> DataFrame:
@@ -430,38 +438,31 @@ def merged_spans(runs: DataFrame, tasks: int) -> DataFrame:
             batch = batch.filter(pc.invert(known))
             for part, *block in zip(*(batch.column(i).to_pylist() for i in range(4, 12)), strict=True):
                 blocks.setdefault(part, []).append(tuple(block))
-        out: list[tuple[int, int, int, int]] = []
         for part in sorted(blocks):
-            group: list[tuple] = []
+            lcps: list[int] = []
+            suffixes: list[tuple] = []
+            start = 0  # of the last group
             for lcp, x in merge_runs([_decode(b) for b in blocks.pop(part)]):
-                if lcp < _HEAD + KMER and group:
-                    if len(group) > 1:
-                        out += group_spans(group)
-                    group = []
-                group.append(x)
-                if len(out) > 50_000:
-                    yield batch_of(out)
-                    out = []
-            if len(group) > 1:
-                out += group_spans(group)
-        if out:
-            yield batch_of(out)
-
-    def group_spans(group: list[tuple]) -> list[tuple[int, int, int, int]]:
-        group.sort()
-        first, out = [], []
-        for x in group:
-            if first and x[0] == first[-1][0] and x[1] == first[-1][1]:
-                if x[2:] != first[-1][2:]:
-                    out.append(_whole(x))
-            else:
-                first.append(x)
-        if len(first) > 1:
-            out += repeated_windows(first)
-        return out
-
-    def batch_of(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "tag", "low", "high"])
+                if lcp < _HEAD + KMER:
+                    if len(suffixes) - start == 1:  # alone at its anchor
+                        lcps.pop()
+                        suffixes.pop()
+                    if len(suffixes) >= BATCH:
+                        yield found(lcps, suffixes)
+                        lcps, suffixes = [], []
+                    start = len(suffixes)
+                lcps.append(lcp)
+                suffixes.append(x)
+            if len(suffixes) - start == 1:
+                lcps.pop()
+                suffixes.pop()
+            if suffixes:
+                yield found(lcps, suffixes)
+
+    def found(lcps: list[int], suffixes: list[tuple]) -> pa.RecordBatch:
+        spans = list(repeated_windows(lcps, suffixes))
+        columns = [pa.array(c, pa.int64()) for c in zip(*spans, strict=True)] if spans else [pa.array([], pa.int64())] * 4
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "tag", "low", "high"])
 
     return runs.repartition(tasks, "part").mapInArrow(merge, SPANS)
 
@@ -473,7 +474,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     100-byte string over it also starts earlier: at a smaller doc_id, or before in the same text;
     strings are judged on the input. A null id is before all others (it counts as -2**63). Rows
     that share an id are in the order of a hash of their texts; equal rows are one text and treated
-    alike. n_spans counts the maximal removed runs. Other columns aren't read.
+    alike. n_spans counts the maximal removed runs. An empty table gives an empty result; a text of
+    any length is looked through whole, in pieces. Other columns aren't read.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(str(_NO_ID)).cast("long"))
     rows = docs.select(key.alias("doc"), F.col(text_col).alias("text"))
@@ -487,13 +489,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = repeated_anchors(rows, cells)
     spans = merged_spans(sorted_runs(rows, repeated, cells, bits), 2 ** (bits - 2))
     spans = cut(spans, "suffix-spans").groupBy("doc", "tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = cut(spans, "suffix-lists")
     # the same tag as in _texts, which tells rows of one id apart
     tag = F.lit(0).cast("long")
     if tagged:
         tag_rows = rows.select("doc", "text").mapInArrow(_tagged, "doc long, text string, tag long")
     else:
         tag_rows = rows.select("doc", "text", tag.alias("tag"))
-    joined = tag_rows.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans")
+    # only texts that lose something are shuffled
+    some, others = Few(spans, F.col("doc")).split(tag_rows, F.col("doc"))
+    listed = some.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans")
+    joined = listed.unionByName(others.select("doc", "text", F.lit(None).cast(listed.schema["spans"].dataType).alias("spans")))
     out = joined.mapInArrow(_rewrite, "doc long, kept binary, n_bytes long, n_removed long, n_spans long")
     return out.withColumn("doc_id", F.when(F.col("doc") != F.lit(str(_NO_ID)).cast("long"), F.col("doc"))).drop("doc")
 
@@ -527,6 +533,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats on documents, with the digest of the bytes that are left."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
