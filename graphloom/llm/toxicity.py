@@ -30,12 +30,15 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "(": "c", "+": "t", "€": "e", "£": "l",
 }
 SEPARATORS = " .-_*~'"
-#: Log probabilities of the channel: a letter disguised, a separator put in, a letter repeated, a character meant as it is.
-DISGUISED, INSERTED, REPEATED, PLAIN = -2.0, -1.0, -0.7, -0.05
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|]) ?(?:(?:[ .\-_*~])(?:[^\W_]|[@$!|])){2,}(?!\S)")
-_ODD = re.compile(r"[^a-z]|(.)\1\1")
-_LETTER_ODD = re.compile(r"(.)\1\1|[\W\d_]")
-_TRIM = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$")
+#: Log probabilities of the channel: a letter disguised, a separator put in, a sign that is punctuation, a letter
+#: doubled, one repeated a third time or more, a character meant as it is.
+DISGUISED, INSERTED, TRIMMED, DOUBLED, REPEATED, PLAIN = -2.0, -1.0, -0.5, -4.0, -0.5, -0.05
+#: Fragments of one or two characters with separators of any length between them, three or more in a row.
+_SIGN = re.escape("".join(LEET).translate(str.maketrans("", "", "0123456789")))
+_FRAGMENT = rf"(?:[^\W_]|[{_SIGN}]){{1,2}}"
+_SPACED = re.compile(rf"(?<!\S){_FRAGMENT}(?:[ .\-_*~']+{_FRAGMENT}){{2,}}(?!\S)")
+_ODD = re.compile(r"[\W\d_]|(.)\1")
+_EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 def _symbols(data: bytes) -> np.ndarray:
@@ -83,19 +86,30 @@ class CharacterModel:
     def symbol(c: str) -> int:
         return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
-    def restore(self, token: str) -> str:
+    def restore(self, token: str, trim: bool = True) -> str:
         """The likeliest plain text of a lower-cased token: Viterbi over the lattice of its characters.
 
         Arcs: a character as it is; a digit or sign as a letter it stands for; a separator left
-        out; a letter left out that repeats the one before. A state is the last two characters
-        written, so the work is linear in the token's length.
+        out, however many of them follow each other; a letter left out that repeats the one before;
+        with trim, a sign at either end left out as punctuation. A state is the last two characters
+        written, so the work is linear in the token's length. The plain reading is a path like the
+        others and wins where the character model likes it best.
         """
         log, symbol = self.log, self.symbol
+        inner = token.strip(_EDGE) if trim else token
+        head = len(token) - len(token.lstrip(_EDGE)) if trim and inner else 0
+        tail = head + len(inner) if trim and inner else len(token)
         states: dict[tuple[str, str], tuple[float, tuple | None]] = {(" ", " "): (0.0, None)}
-        for c in token:
-            arcs = [(c if c.isalpha() else " ", PLAIN if c.isalpha() else DISGUISED - 2)]
+        for i, c in enumerate(token):
+            before = token[i - 1] if i else ""
+            arcs = [(c, PLAIN)] if c.isalpha() else [(" ", PLAIN if c.isspace() else INSERTED if c in SEPARATORS else DISGUISED - 2)]
             arcs += [(x, DISGUISED) for x in LEET.get(c, "")]
             skip = INSERTED if c in SEPARATORS else None
+            if skip is not None and before and before in SEPARATORS:
+                skip = PLAIN  # one run of separators is one choice
+            if not head <= i < tail:
+                skip = TRIMMED
+            again = REPEATED if i > 1 and c == before == token[i - 2] else DOUBLED
             new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in states.items():
                 row = log[symbol(a)][symbol(b)]
@@ -106,7 +120,7 @@ class CharacterModel:
                         to, worth, way = (b, x), score + cost + row[symbol(x)], (path, x)
                     if to not in new or worth > new[to][0]:
                         new[to] = (worth, way)
-                left_out = skip if skip is not None else REPEATED if c == b or b in LEET.get(c, "") else None
+                left_out = skip if skip is not None else again if c == b or b in LEET.get(c, "") else None
                 if left_out is not None and ((a, b) not in new or score + left_out > new[a, b][0]):
                     new[a, b] = (score + left_out, path)
             states = new
@@ -119,8 +133,13 @@ class CharacterModel:
 
 
 def spaced_runs(text: str) -> list[str]:
-    """Stretches of three or more single characters with a separator between them."""
-    return [m.group() for m in _SPACED.finditer(text)]
+    """Stretches of three or more short fragments with separators between them, most of the fragments one character."""
+    out = []
+    for m in _SPACED.finditer(text):
+        sizes = list(map(len, re.split(r"[ .\-_*~']+", m.group())))
+        if sizes.count(1) * 2 >= len(sizes):
+            out.append(m.group())
+    return out
 
 
 def tokens_of(text: str) -> set[str]:
@@ -131,16 +150,33 @@ def tokens_of(text: str) -> set[str]:
     return out
 
 
+def readings_of(token: str, model: CharacterModel) -> list[list[str]]:
+    """The restored words of one token, in each way that it can be read.
+
+    A token of letters without a double one is itself. Others are decoded. Signs at the edges are
+    punctuation or letters: the token is decoded with them and without them. A run of fragments may
+    be one word: it is decoded with its separators and without.
+    """
+    bare = token.strip(_EDGE)
+    if bare == token and not _ODD.search(token):
+        return [[token]]
+    tries = [model.restore(token)]
+    if bare and not _ODD.search(bare):
+        tries.append(bare)
+    if bare != token and any(c in LEET for c in token[: len(token) - len(token.lstrip(_EDGE))] + token[len(token.rstrip(_EDGE)) :]):
+        tries.append(model.restore(token, trim=False))
+    if any(c in SEPARATORS for c in bare):
+        tries.append(model.restore("".join(c for c in bare if c not in SEPARATORS)))
+    out: list[list[str]] = []
+    for words in map(str.split, tries):
+        if words and words not in out:
+            out.append(words)
+    return out
+
+
 def words_of(token: str, model: CharacterModel) -> list[str]:
-    """The restored words of one token; a token of letters without threefold repeats is itself."""
-    token = token.rstrip(_TRIM + "@$").lstrip(_TRIM)
-    if not token:
-        return []
-    if token.isascii() and not _ODD.search(token):
-        return [token]
-    if not token.isascii() and not _LETTER_ODD.search(token):
-        return [token]
-    return model.restore(token).split()
+    """The distinct words of all readings of a token."""
+    return list(dict.fromkeys(w for words in readings_of(token, model) for w in words))
 
 
 def features_of(word: str) -> list[str]:
@@ -169,7 +205,8 @@ class ToxicityModel:
         return w if w >= LEAST_WEIGHT else 0.0
 
     def token_weight(self, token: str, own: int | None = None) -> float:
-        return sum((max(self.weight(f, own) for f in features_of(w)) for w in words_of(token, self.characters)), 0.0)
+        """The weight of the reading that says most."""
+        return max((sum(max(self.weight(f, own) for f in features_of(w)) for w in words) for words in readings_of(token, self.characters)), default=0.0)
 
     def inputs(self, text: str | None, own: int | None = None) -> tuple[float, float, float]:
         """(sum and largest of the tokens' weights, log of the number of distinct tokens)."""
@@ -216,8 +253,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learn from the labelled rows that aren't held out; the character model is counted over all texts.
 
     No more than about ``rows`` labelled rows are used, chosen by a hash of their id: that bounds
-    the broadcast list of labels and the lexicon. Labels that are null or of unknown ids don't
-    count. Without labels of both kinds every text gets one low score.
+    the broadcast list of labels. Rows that share an id are one document with many texts: of all
+    rows that the labels meet no more than four times ``rows`` are read, again by a hash, so that
+    repeated ids can't make the sample grow. A feature has to be in LEAST_TEXTS toxic texts of that
+    sample and in few clean ones, so the lexicon has at most 4 * rows * words / LEAST_TEXTS entries and
+    in practice a few thousand. Labels that are null or of unknown ids don't count; an id with
+    several labels counts once for each. Without labels of both kinds every text gets one low score.
     """
     model = ToxicityModel(CharacterModel(trigram_counts(docs, text_col)))
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -227,6 +268,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = usable.select(F.col(id_col).alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("y"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = cut(texts.join(F.broadcast(usable), "doc_id").select("text", "y"), "toxic-train")
+    if (n := sample.count()) > 4 * rows:
+        part = F.pmod(F.xxhash64("text", "y", F.monotonically_increasing_id()), F.lit(1_000_000))
+        sample = cut(sample.where(part < F.lit(int(1_000_000 * 4 * rows / n))), "toxic-sample")
     sizes = dict(sample.groupBy("y").count().collect())
     if not sizes.get(0) or not sizes.get(1):
         return model
@@ -276,7 +320,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """For each row: doc_id, held_out, score, predicted.
 
     Null and empty texts get the score of a text without any toxic word. The score reads the text
-    alone; repeated rows get equal scores.
+    alone, the whole of it; repeated rows get equal scores. An empty table gives an empty result.
     """
     model = train(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -285,10 +329,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose score reaches the threshold."""
+    """docs without the rows whose score reaches the threshold.
+
+    Null and empty texts stay unless texts without a toxic word score that high; repeated rows share
+    their fate; an empty table stays empty; all columns are kept.
+    """
     model = train(docs, labels, id_col, text_col)
     return docs.where(score_column(docs.sparkSession, model, F.col(text_col)) < threshold)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_toxicity on documents, learnt from labels."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
