@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import time
 import zipfile
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,12 @@ RANGE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
 ATTEMPTS = 3
 
+#: What the sidecar of an archive has of each member, in order of their offsets: offset, stored bytes, bytes, CRC.
+ENTRY, ENTRY_BYTES = "<QQQI", 28
+SIDECAR = ".members"
+#: A zip member's own header: signature, method, lengths of its name and extra field.
+_LOCAL, _LOCAL_BYTES = "<4s4xH16xHH", 30
+
 MEMBERS = "archive string, member string, offset long, media binary, attempts int, error string"
 
 
@@ -77,7 +85,8 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     """Write every row's text as an image into zip archives of folder; returns what was written.
 
     A task's archives are named by its partition and appear when they are complete, so an attempt
-    that runs again replaces them. Members are <number>-<id>.pgm, deflated; a null id is "null".
+    that runs again replaces them. Members are <number>-<id>.pgm, deflated; a null id is "null". A
+    sidecar beside each archive lists its members by offset; it is there before the archive is.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,14 +95,17 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
         row, k = next(rows, None), 0
         while row is not None:
             name, members, size = f"media-{part:07d}-{k:04d}.zip", 0, 0
-            with published(folder, name) as out, zipfile.ZipFile(_Sink(out), "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
-                while row is not None and (size < ARCHIVE_BYTES):
-                    doc_id, text = row
-                    raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                    info = zipfile.ZipInfo(f"{members:08d}-{'null' if doc_id is None else doc_id}.pgm")
-                    info.compress_type = zipfile.ZIP_DEFLATED
-                    archive.writestr(info, to_image(padded(raw), len(raw)), compresslevel=1)
-                    members, size, row = members + 1, size + len(raw) + BLOCK, next(rows, None)
+            with published(folder, name) as out:
+                with zipfile.ZipFile(_Sink(out), "w", zipfile.ZIP_DEFLATED, compresslevel=1) as archive:
+                    while row is not None and (size < ARCHIVE_BYTES):
+                        doc_id, text = row
+                        raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                        info = zipfile.ZipInfo(f"{members:08d}-{'null' if doc_id is None else doc_id}.pgm")
+                        info.compress_type = zipfile.ZIP_DEFLATED
+                        archive.writestr(info, to_image(padded(raw), len(raw)), compresslevel=1)
+                        members, size, row = members + 1, size + len(raw) + BLOCK, next(rows, None)
+                with published(folder, name + SIDECAR) as side:
+                    side.write(b"".join(struct.pack(ENTRY, x.header_offset, x.compress_size, x.file_size, x.CRC) for x in archive.infolist()))
             k += 1
             yield pa.RecordBatch.from_pydict({"archive": [name], "members": [members], "payload_bytes": [size]})
 
@@ -105,17 +117,12 @@ class _Range(InputPartition):
         self.archive, self.low, self.high = archive, low, high
 
 
-def read_member(open_archive, info: zipfile.ZipInfo, attempts: int = ATTEMPTS, wait_s: float = 0.1) -> tuple[bytes | None, int, str | None]:
-    """(bytes, attempts, error): a member that fails is read again from its offset in a new handle.
-
-    Only the member is repeated, never the archive's others; zipfile checks its CRC. One that
-    fails every time has no bytes and the last error, and doesn't end the task.
-    """
+def retried(read: Callable[[bool], bytes], attempts: int = ATTEMPTS, wait_s: float = 0.1) -> tuple[bytes | None, int, str | None]:
+    """(bytes, attempts, error) of read(fresh), which is tried again with a new handle when it fails."""
     error = None
     for n in range(1, attempts + 1):
         try:
-            with open_archive(fresh=n > 1).open(info) as member:
-                return member.read(), n, None
+            return read(n > 1), n, None
         except (OSError, zipfile.BadZipFile, zlib.error, EOFError) as e:
             error = f"{type(e).__name__}: {e}"[:200]
             if n < attempts:
@@ -123,9 +130,65 @@ def read_member(open_archive, info: zipfile.ZipInfo, attempts: int = ATTEMPTS, w
     return None, attempts, error
 
 
+def read_member(open_archive, info: zipfile.ZipInfo, attempts: int = ATTEMPTS, wait_s: float = 0.1) -> tuple[bytes | None, int, str | None]:
+    """(bytes, attempts, error): a member that fails is read again from its offset in a new handle.
+
+    Only the member is repeated, never the archive's others; zipfile checks its CRC. One that
+    fails every time has no bytes and the last error.
+    """
+
+    def read(fresh: bool) -> bytes:
+        with open_archive(fresh=fresh).open(info) as member:
+            return member.read()
+
+    return retried(read, attempts, wait_s)
+
+
+def member_at(stream, entry: tuple[int, int, int, int]) -> tuple[str, bytes]:
+    """(name, bytes) of the member that a sidecar's entry describes, checked against its size and CRC."""
+    offset, stored, size, crc = entry
+    stream.seek(offset)
+    data = stream.read(_LOCAL_BYTES + 64 + stored)
+    if len(data) < _LOCAL_BYTES:
+        raise EOFError("the archive ends before the member")
+    signature, method, n_name, n_extra = struct.unpack_from(_LOCAL, data)
+    start = _LOCAL_BYTES + n_name + n_extra
+    if signature != b"PK\3\4":
+        raise zipfile.BadZipFile(f"no member at {offset}")
+    if len(data) < start + stored:
+        data += stream.read(start + stored - len(data))
+    body = data[start : start + stored]
+    out = zlib.decompress(body, -15) if method == zipfile.ZIP_DEFLATED else body
+    if len(out) != size or zlib.crc32(out) != crc:
+        raise zipfile.BadZipFile(f"bad size or CRC-32 at {offset}")
+    return data[_LOCAL_BYTES : _LOCAL_BYTES + n_name].decode(), out
+
+
+class _Entries:
+    """A sidecar as a sequence that is read entry by entry: bisection opens a few of them, not all."""
+
+    def __init__(self, stream) -> None:
+        self.stream, self.n = stream, stream.size() // ENTRY_BYTES
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> tuple[int, int, int, int]:
+        self.stream.seek(i * ENTRY_BYTES)
+        return struct.unpack(ENTRY, self.stream.read(ENTRY_BYTES))
+
+    def between(self, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
+        """The entries with an offset in [low, high)."""
+        a, b = (bisect_left(self, x, key=lambda e: e[0]) for x in (low, high))
+        self.stream.seek(a * ENTRY_BYTES)
+        yield from struct.iter_unpack(ENTRY, self.stream.read((b - a) * ENTRY_BYTES))
+
+
 class ArchiveReader(DataSourceReader):
-    def __init__(self, folder: str, range_bytes: int, attempts: int) -> None:
-        self.folder, self.range_bytes, self.attempts = folder, range_bytes, attempts
+    def __init__(self, folder: str, range_bytes: int, attempts: int, on_error: str) -> None:
+        if on_error not in ("raise", "row"):
+            raise ValueError(f"on_error is {on_error!r}; known are raise and row")
+        self.folder, self.range_bytes, self.attempts, self.on_error = folder, range_bytes, attempts, on_error
 
     def partitions(self) -> list[InputPartition]:
         """Byte ranges of the archives, from file sizes alone: no archive is opened to plan."""
@@ -137,10 +200,43 @@ class ArchiveReader(DataSourceReader):
         return out or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        """The members whose local header starts in the range, from the archive's own directory."""
+        """The members whose local header starts in the range, by the archive's sidecar or, without one, by its own directory."""
         if not partition.archive:
             return
         fs, path = open_fs(partition.archive)
+        listed = fs.get_file_info(path + SIDECAR).is_file
+        rows: list[tuple] = []
+        size = 0
+        for name, offset, (media, n, error) in self.by_sidecar(fs, path, partition) if listed else self.by_directory(fs, path, partition):
+            if error is not None and self.on_error == "raise":
+                raise OSError(f"{partition.archive} at {offset}: {error}")
+            rows.append((partition.archive, name, offset, media, n, error))
+            size += len(media or b"")
+            if size >= BATCH_BYTES:
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def by_sidecar(self, fs, path: str, partition: _Range) -> Iterator[tuple]:
+        with fs.open_input_file(path + SIDECAR) as side:
+            entries = list(_Entries(side).between(partition.low, partition.high))
+        handle = fs.open_input_file(path)
+        for entry in entries:
+            name: list[str | None] = [None]
+
+            def attempt(fresh: bool, entry=entry, name=name) -> bytes:
+                nonlocal handle
+                if fresh:
+                    handle = fs.open_input_file(path)
+                name[0], data = member_at(handle, entry)
+                return data
+
+            got = retried(attempt, self.attempts)
+            yield name[0], entry[0], got
+        handle.close()
+
+    def by_directory(self, fs, path: str, partition: _Range) -> Iterator[tuple]:
         held: list[zipfile.ZipFile] = []
 
         def open_archive(fresh: bool = False) -> zipfile.ZipFile:
@@ -150,19 +246,9 @@ class ArchiveReader(DataSourceReader):
                 held.append(zipfile.ZipFile(fs.open_input_file(path)))
             return held[0]
 
-        rows: list[tuple] = []
-        size = 0
         for info in open_archive().infolist():
-            if not partition.low <= info.header_offset < partition.high:
-                continue
-            media, n, error = read_member(open_archive, info, self.attempts)
-            rows.append((partition.archive, info.filename, info.header_offset, media, n, error))
-            size += len(media or b"")
-            if size >= BATCH_BYTES:
-                yield _batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield _batch(rows)
+            if partition.low <= info.header_offset < partition.high:
+                yield info.filename, info.header_offset, read_member(open_archive, info, self.attempts)
         for archive in held:
             archive.close()
 
@@ -177,7 +263,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class ArchiveSource(DataSource):
-    """format("graphloom_archive"): one row per member of the zip archives in the folder ``path``."""
+    """format("graphloom_archive"): one row per member of the zip archives in the folder ``path``.
+
+    A member that fails every time ends its task, which Spark runs again elsewhere; with the option
+    on_error=row it is a row with an error instead of bytes.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -187,7 +277,7 @@ class ArchiveSource(DataSource):
         return MEMBERS
 
     def reader(self, schema) -> DataSourceReader:
-        return ArchiveReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)), int(self.options.get("attempts", ATTEMPTS)))
+        return ArchiveReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)), int(self.options.get("attempts", ATTEMPTS)), self.options.get("on_error", "raise"))
 
 
 def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
@@ -241,9 +331,9 @@ def media_features(members: DataFrame) -> DataFrame:
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text as an image, read all archives back and describe what was read.
 
-    A null text counts as empty; an empty one is one block of byte 255. A null id comes back as
-    null, repeated rows as rows of their own. An empty table writes no archive and gives no row.
-    Other columns aren't read.
+    A null text counts as empty; an empty one is one block of byte 255; a text of any length is one
+    image. A null id comes back as null, repeated rows as rows of their own. An empty table writes
+    no archive and gives no row. Other columns aren't read.
     """
     spark = docs.sparkSession
     folder = scratch(spark, "media")
@@ -253,4 +343,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_columns on documents."""
     return media_columns(table(spark, sf_dir, "documents"))
