@@ -11,8 +11,8 @@ from graphloom.llm.common import cut, n_words, table, text_of
 WEIGHTS = (5, 2, 1)
 #: No source may be repeated more often.
 MOST_EPOCHS = 3
-#: Ranges of the random key inside a source: its first three hex digits.
-RANGE_DIGITS = 3
+#: Ranges of the random key inside a source: three hex digits, and so many times three more inside the one range where a cut falls.
+RANGE_DIGITS, LEVELS = 3, 2
 
 
 def random_key(doc_id: Column) -> Column:
@@ -53,7 +53,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     The random key is uniform, so its leading digits are a range partitioning known beforehand:
     sizes are summed by (source, range), prefix sums run over the at most 4096 ranges of a source,
-    and only the one range in which the target is met is sorted row by row.
+    and the one range in which the target is met is divided again. What is left, one row in 16
+    million of a source's, is sorted row by row.
     """
     text = text_of(text_col)
     rows = cut(
@@ -65,8 +66,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         ),
         "mix-rows",
     )
-    part = F.substring("key", 1, RANGE_DIGITS)
-    ranges = cut(rows.groupBy("source", part.alias("part")).agg(F.sum("size").alias("words")), "mix-ranges")
+    ranges = cut(rows.groupBy("source", F.substring("key", 1, RANGE_DIGITS).alias("part")).agg(F.sum("size").alias("words")), "mix-ranges")
     goal = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), **kw)
     goal = goal.withColumn("whole", F.round("target").cast("long")).withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("whole") / F.col("source_size"))).otherwise(0)
@@ -74,10 +74,19 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     goal = cut(goal.withColumn("rest", F.col("whole") - F.col("epochs") * F.col("source_size")), "mix-targets")
 
     up_to = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    at = ranges.withColumn("before", F.coalesce(F.sum("words").over(up_to), F.lit(0)))
-    g = goal.select(F.col("source").alias("g_source"), "rest")
-    at = at.join(g, F.col("source").eqNullSafe(F.col("g_source")))
-    at = at.where("rest > before AND rest <= before + words").select("g_source", F.col("part").alias("g_part"), "before", "rest")
+    at = goal.select(F.col("source").alias("g_source"), "rest", F.lit("").alias("g_part"), F.lit(0).cast("long").alias("start"))
+    for level in range(1, LEVELS + 1):
+        if level > 1:
+            finer = F.substring("key", 1, RANGE_DIGITS * level)
+            inside = rows.join(at, F.col("source").eqNullSafe(F.col("g_source")) & F.startswith("key", F.col("g_part")))
+            ranges = inside.groupBy("source", finer.alias("part")).agg(F.sum("size").alias("words"))
+        summed = ranges.withColumn("sum", F.coalesce(F.sum("words").over(up_to), F.lit(0)))
+        near = at.select("g_source", "rest", "start")
+        found = summed.join(near, F.col("source").eqNullSafe(F.col("g_source"))).withColumn("before", F.col("start") + F.col("sum"))
+        found = found.where("rest > before AND rest <= before + words")
+        at = cut(found.select("g_source", "rest", F.col("part").alias("g_part"), F.col("before").alias("start")), "mix-cut-range")
+    at = at.withColumnRenamed("start", "before")
+    part = F.substring("key", 1, RANGE_DIGITS * LEVELS)
     inside = rows.join(at, F.col("source").eqNullSafe(F.col("g_source")) & (part == F.col("g_part")))
     run = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
@@ -102,8 +111,10 @@ def mix(docs: DataFrame, **kw) -> DataFrame:
     source is a source, the last one. taken is the words the mix takes of the row, repeats
     counted: whole epochs, then the source's random order up to the exact word where its rounded
     target is met. Rows that share an id are at one place of that order, so that a cut at such an
-    id takes the same words of each. Sources without words have target 0. The per-source table has
-    one row a source; Spark broadcasts it only below its own size threshold.
+    id takes the same words of each. Sources without words have target 0; an empty table gives an
+    empty result; a text of any length is counted whole. Weights go by the sources' order, so one
+    task orders the table of sources, one row each; Spark broadcasts it only below its own size
+    threshold.
     """
     rows, cuts = plan_mix(docs, **kw)
     c = cuts.withColumnRenamed("source", "c_source")
@@ -117,7 +128,9 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The rows of the mix with the columns of docs: each as many times as the mix starts it.
 
     The document at the cut is taken whole, so a source may pass its target by a part of one
-    document. Texts are not shuffled: the cut is a comparison with one row per source.
+    document. Texts are not shuffled: the cut is a comparison with one row per source. A null source
+    is a source; a null or empty text has no words and comes along with those before the cut; an
+    empty table stays empty.
     """
     _, cuts = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **kw)
     c = cuts.select(F.col("source").alias("__gl_source"), "epochs", "cut_key", "cut_id")
@@ -133,6 +146,7 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix on all documents."""
     return mix(table(spark, sf_dir, "documents"))
 
 

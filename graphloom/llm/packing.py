@@ -146,4 +146,5 @@ def pack(
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack on documents."""
     return pack(table(spark, sf_dir, "documents"))
