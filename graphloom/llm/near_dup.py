@@ -10,11 +10,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, heavy, join_hot, table
-from graphloom.llm.url_filter import HASHES, MOST_WORDS, bloom_words, passes
+from graphloom.llm.common import Few, cut, free, heavy, join_hot, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and samples a band: texts of similarity 0.8 share no band with probability (1 - 0.8**3)**14 = 4e-5.
@@ -29,6 +28,10 @@ _CHUNK = 32_768
 _SIG = BANDS * ROWS
 #: More samples of texts whose buckets stay open, and the least agreement of all 170: over three standard deviations below 0.8.
 MORE, LEAST_AGREEMENT_ALL = 128, 0.7
+#: Members of a bucket that are compared with each other, or with as many others, in one task.
+BLOCK = 4_096
+#: Of the members of one component that agree with a text, the texts of so many are read first, and all the others only if these don't link it.
+FIRST = 8
 
 _rng = np.random.RandomState(20_240_229)
 _ODD = _rng.randint(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -130,12 +133,16 @@ def _packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([rows.num_rows]), pa.array([size])], names=["data", "n", "size"])
 
 
-def _unpacked(data: pa.Scalar) -> tuple[pa.Array, list[list[bytes]], list[tuple[np.ndarray, np.ndarray]]]:
-    """(ids, words of each text, shingles of each text) of a stretch."""
+def _texts(data: pa.Scalar) -> tuple[pa.Array, list[bytes]]:
+    """(ids, texts) of a stretch."""
     rows = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
     ids, texts = (rows.column(i).combine_chunks() for i in (0, 1))
-    tokens = [words(t.as_buffer().to_pybytes()) if t.is_valid else [] for t in texts]
-    return ids, tokens, [shingles(t) for t in tokens]
+    return ids, [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]
+
+
+def raw_digest(text: Column) -> Column:
+    """Tells the texts of rows that share an id apart."""
+    return F.unhex(F.md5(F.coalesce(text.cast("binary"), F.lit(b""))))
 
 
 def stretches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -174,7 +181,7 @@ def with_frequencies(packed: DataFrame, bits: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for stretch, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = np.concatenate([x[0] for x in _unpacked(data)[2]])
+                h = np.concatenate([shingles(words(t))[0] for t in _texts(data)[1]])
                 if not len(h):
                     continue
                 h, n, _ = distinct_counts(h, np.ones(len(h)))
@@ -265,10 +272,16 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sign(asked: DataFrame, documents: int) -> DataFrame:
-    """(doc_id, content, df, sig, bands) of with_frequencies(): a digest of the words, the document frequency of each shingle, the samples and a key for every band."""
+    """(doc_id, raw, content, df, sig, bands) of with_frequencies().
+
+    raw is a digest of the text, content one of its words; df the document frequency of each shingle,
+    sig the samples and bands a key for every band.
+    """
 
     def signed(data: pa.Scalar, answers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        ids, tokens, found = _unpacked(data)
+        ids, texts = _texts(data)
+        tokens = list(map(words, texts))
+        found = list(map(shingles, tokens))
         frequencies = np.concatenate([np.empty(0, np.uint32), *answers])
         lengths = [len(h) for h, _ in found]
         distinct, at = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
@@ -298,12 +311,13 @@ def sign(asked: DataFrame, documents: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [
                 ids,
+                pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()),
                 pa.array(list(map(content_of, tokens)), pa.binary()),
                 pa.array([_shrunk(x) if len(x) else b"" for x in df], pa.binary()),
                 pa.array([None if x is None else x.tobytes() for x in sigs], pa.binary()),
                 pa.array([None if x is None else band_keys(x).view(np.int64) for x in sigs], pa.list_(pa.int64())),
             ],
-            names=["doc_id", "content", "df", "sig", "bands"],
+            names=["doc_id", "raw", "content", "df", "sig", "bands"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,13 +333,19 @@ def sign(asked: DataFrame, documents: int) -> DataFrame:
         if data is not None:
             yield from signed(data, answers)
 
-    return asked.select("part", "n", "data").mapInArrow(run, "doc_id long, content binary, df binary, sig binary, bands array<bigint>")
+    return asked.select("part", "n", "data").mapInArrow(run, "doc_id long, raw binary, content binary, df binary, sig binary, bands array<bigint>")
+
+
+def hot_ends(pairs: DataFrame, side: str, total: int) -> DataFrame:
+    """The nodes that over a thousandth of the pairs have at this side."""
+    return heavy(pairs.groupBy(side).agg(F.count("*").alias("n")), "n", total).select(side)
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs(a, b) whose samples agree often enough to be worth reading their texts."""
+    """The pairs(a, b) whose samples agree often enough to be worth reading their texts. Many may share a pivot b."""
+    hot = hot_ends(pairs, "b", pairs.count())
     left = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-    both = left.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+    both = join_hot(left, sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b", hot, "a")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,14 +368,13 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
 def verify(pairs: DataFrame, texts: DataFrame, documents: int, least: float = SIMILARITY) -> DataFrame:
     """The pairs(a, b) whose texts have at least this weighted Jaccard similarity, with it.
 
-    b is the pivot that many a share: each row brings its own a, and the texts of hot pivots are
-    repeated for the tasks that their pairs are dealt to.
+    Both ends may be hot: the texts of such nodes are repeated for the tasks that their pairs are
+    dealt to.
     """
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.struct("text", "df").alias("text_a")), "a")
-    counts = pairs.groupBy("b").count()
     total = pairs.count()
-    hot = cut(heavy(counts, "count", total).select("b"), "near-hot")
-    both = join_hot(with_a, texts.select(F.col("node").alias("b"), F.struct("text", "df").alias("text_b")), "b", hot, "a")
+    ends = [texts.select(F.col("node").alias(x), F.struct("text", "df").alias(f"text_{x}")) for x in ("a", "b")]
+    with_a = join_hot(pairs, ends[0], "a", hot_ends(pairs, "a", total), "b")
+    both = join_hot(with_a, ends[1], "b", hot_ends(pairs, "b", total), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
@@ -377,25 +396,37 @@ def verify(pairs: DataFrame, texts: DataFrame, documents: int, least: float = SI
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, comp): the least node that links(a, b) connect each linked node with.
 
+    known is the result for a part of the links, from which the work goes on.
+
     Every round takes the least label of the neighbours and then the label's own label; labels and
-    links are written to the shared folder, so no round's plan holds the ones before.
+    links are written to the shared folder, so no round's plan holds the ones before. Nodes with
+    many links and labels of many nodes are dealt to several tasks.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut(both.where("a <> b").distinct(), "near-links")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")), "near-labels")
+    centres = cut(hot_ends(both, "b", both.count()), "near-centres")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp"))
+    if known is not None:
+        labels = labels.join(known.withColumnRenamed("comp", "known"), "node", "left").select("node", F.least("comp", "known").alias("comp"))
+    labels = cut(labels, "near-labels")
+    nodes = labels.count()
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("b_comp")), "b").groupBy(F.col("a").alias("node")).agg(F.min("b_comp").alias("b_comp"))
-        low = labels.join(near, "node").select("node", "comp", F.least("comp", "b_comp").alias("low"))
+        around = join_hot(both, labels.select(F.col("node").alias("b"), F.col("comp").alias("b_comp")), "b", centres, "a")
+        near = around.groupBy(F.col("a").alias("node")).agg(F.min("b_comp").alias("b_comp"))
+        low = cut(labels.join(near, "node").select("node", "comp", F.least("comp", "b_comp").alias("low")), "near-low")
         jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("low_comp"))
-        new = low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("low_comp", "low")).alias("comp"), (F.col("comp") != F.least("low", F.coalesce("low_comp", "low"))).alias("moved"))
+        least = F.least("low", "low_comp")
+        new = join_hot(low, jump, "low", hot_ends(low, "low", nodes), "node").select("node", least.alias("comp"), (F.col("comp") != least).alias("moved"))
         new = cut(new, "near-labels")
         moved = new.where("moved").limit(1).count()
-        labels = new.select("node", "comp")
+        free(labels, low)
+        labels = new
         if not moved:
-            return labels
+            free(both, centres)
+            return labels.select("node", "comp")
 
 
 def _stars(buckets: DataFrame, total: int) -> DataFrame:
@@ -411,12 +442,14 @@ def _stars(buckets: DataFrame, total: int) -> DataFrame:
     return pairs.where("a <> b").select("a", "b").distinct()
 
 
-def near_links(nodes: DataFrame, texts_of, documents: int) -> DataFrame:
-    """Verified links(a, b, similarity) that connect what the bands of nodes(node, sig, bands) bring together.
+def near_components(nodes: DataFrame, texts_of, documents: int) -> DataFrame:
+    """(node, comp): what verified links connect among the nodes(node, sig, bands) that the bands bring together.
 
     First every bucket's members are compared with its pivot. Members of buckets that still hold
     several components meet again in buckets of two bands at a time (texts of similarity 0.8
-    share under two bands with probability 7e-4). There every pair across components is looked at.
+    share under two bands with probability 7e-4). There every pair across components is looked at;
+    of those that agree, the texts of the FIRST best of each component are read, and if that links
+    a text no other of that component needs to be. What is still apart is read in full afterwards.
     """
     keyed = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -434,11 +467,19 @@ def near_links(nodes: DataFrame, texts_of, documents: int) -> DataFrame:
     comps = components(links)
     again = cut(_open_buckets(_two_band_buckets(_open_buckets(buckets, comps), nodes), comps), "near-open")
     texts = cut(texts_of(again.select("node").distinct()), "near-texts")
-    fresh = _across_components(again, cut(sign_more(texts, sigs, documents), "near-more"))
-    fresh = cut(fresh.join(compared, ["a", "b"], "left_anti"), "near-fresh")
-    if not fresh.limit(1).count():
-        return links
-    return cut(links.unionByName(verify(fresh, texts, documents)), "near-all-links")
+    more = cut(sign_more(texts, sigs, documents), "near-more")
+    for first in (FIRST, None):
+        found = cut(_across_components(again, more, first), "near-found")
+        fresh = cut(found.where("a is not null").select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"), "near-fresh")
+        new = cut(verify(fresh, texts, documents), "near-fresh-links")
+        if new.limit(1).count():
+            links = links.unionByName(new)
+            comps = components(links, comps)
+        if first is None or not found.where("a is null").limit(1).count():
+            return comps
+        compared = compared.unionByName(fresh)
+        again = cut(_open_buckets(again, comps), "near-open")
+    return comps
 
 
 def sign_more(texts: DataFrame, sigs: DataFrame, documents: int) -> DataFrame:
@@ -473,53 +514,75 @@ def sign_more(texts: DataFrame, sigs: DataFrame, documents: int) -> DataFrame:
     return texts.join(sigs, "node").select("node", "text", "sig", "df").mapInArrow(run, "node long, sig binary, own binary")
 
 
-def _across_components(open_: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of different components in a bucket(key, node, comp) whose samples agree.
+def _across_components(open_: DataFrame, sigs: DataFrame, first: int | None) -> DataFrame:
+    """Pairs (a, b), a < b, of different components in a bucket(key, node, comp) whose samples agree.
 
-    A task goes through its buckets one by one. Members outside the bucket's largest component are
-    compared with all members of other components, block by block, on 8 bits of each sample; only
-    pairs that agree leave the task.
+    A bucket's members are dealt to blocks of about BLOCK, and every two blocks meet in a task of their
+    own. Members outside the largest component there are compared with all members of other
+    components, piece by piece, on 8 bits of each sample; only pairs that agree leave the task. With
+    ``first`` a member leaves with so many of a component's that agree best; a row of nulls tells
+    that it had more.
     """
-    rows = open_.join(sigs, "node").select("key", "node", "comp", "sig", "own").repartition("key").sortWithinPartitions("key")
+    sizes = cut(open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")), "near-blocks")
+    hot = heavy(sizes, "n", open_.count()).select("key")
+    dealt = join_hot(open_, sizes.select("key", "blocks"), "key", hot, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = met.select("key", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    signed = sigs.select("node", "sig", F.col("own").alias("keys"))
+    rows = cells.join(signed, "node").select("key", "i", "j", "node", "comp", "own", "sig", "keys")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes, bytes]] = []
+        held: list[tuple[int, int, int, bytes, bytes]] = []
         now = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            node, comp = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
-            sig = np.frombuffer(b"".join(x[2] for x in held), np.uint8).reshape(len(held), -1)
-            own = np.frombuffer(b"".join(x[3] for x in held), np.uint32).reshape(len(held), BANDS)
-            two = divmod(now & 255, BANDS)
-            values, sizes = np.unique(comp, return_counts=True)
-            others = np.flatnonzero(comp != values[sizes.argmax()])
-            first = np.ones(len(node), bool)
-            first[others] = False  # pairs of two others are found from both sides: keep one
+            node, comp, block = (np.array([x[i] for x in held], np.int64) for i in (0, 1, 2))
+            sig = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), -1)
+            own = np.frombuffer(b"".join(x[4] for x in held), np.uint32).reshape(len(held), BANDS)
+            key, i, j = now
+            two = divmod(key & 255, BANDS)
+            values, sizes_ = np.unique(comp, return_counts=True)
+            others = np.flatnonzero(comp != values[sizes_.argmax()])
+            main = np.ones(len(node), bool)
+            main[others] = False  # pairs of two others are found from both sides: keep one
             step = max(1, 100_000 // len(node))
-            for i in range(0, len(others), step):
-                o = others[i : i + step]
-                agree = (sig[o][:, None, :] == sig[None, :, :]).mean(2) >= LEAST_AGREEMENT_ALL
-                agree &= (comp[o][:, None] != comp[None, :]) & (first[None, :] | (node[o][:, None] < node[None, :]))
+            for at in range(0, len(others), step):
+                o = others[at : at + step]
+                score = (sig[o][:, None, :] == sig[None, :, :]).mean(2)
+                agree = (score >= LEAST_AGREEMENT_ALL) & (comp[o][:, None] != comp[None, :]) & (main[None, :] | (node[o][:, None] < node[None, :]))
+                if i != j:
+                    agree &= block[o][:, None] != block[None, :]
                 x, y = np.nonzero(agree)
                 # a pair leaves the bucket of the first two bands that it shares, and no other
                 shared = own[o[x]] == own[y]
                 before = shared[:, : two[1]].sum(1) - shared[:, two[0]]
                 x, y = x[before == 0], y[before == 0]
-                if len(x):
-                    a, b = node[o[x]], node[y]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                a, b = node[o[x]].tolist(), node[y].tolist()
+                if first is not None and len(x):
+                    best = np.lexsort((-score[x, y], comp[y], x))
+                    start = np.append(True, (x[best][1:] != x[best][:-1]) | (comp[y][best][1:] != comp[y][best][:-1]))
+                    rank = np.arange(len(best)) - np.maximum.accumulate(np.where(start, np.arange(len(best)), 0))
+                    chosen = best[rank < first]
+                    a, b = node[o[x[chosen]]].tolist(), node[y[chosen]].tolist()
+                    if len(chosen) < len(best):
+                        a, b = [*a, None], [*b, None]
+                if a:
+                    low = [None if p is None else min(p, q) for p, q in zip(a, b, strict=True)]
+                    high = [None if p is None else max(p, q) for p, q in zip(a, b, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != now:
+            for *cell, node, comp, own, sig, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if cell != now:
                     if len(held) > 1:
                         yield from flush()
-                    held, now = [], key
-                held.append(tuple(row))
+                    held, now = [], cell
+                held.append((node, comp, own, sig, keys))
         if len(held) > 1:
             yield from flush()
 
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def _two_band_buckets(open_: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -548,58 +611,84 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words, weighted by term frequency and inverse document frequency, is at least 0.8; a class is a
     connected component and its id its smallest doc_id, which stays. Texts of equal words are one
     node of the graph, so copies are never paired. A text under five words is one shingle; null
-    and empty texts are equal and linked with nothing else. A row with a null id belongs to the
-    class of its equal texts; where only such rows have a text, their class_id is null and they
-    stay. Rows that share an id and differ in text are in the class of the smaller one's content.
+    and empty texts are equal and linked with nothing else. Texts of any length are read whole, and
+    an empty table gives an empty result.
+
+    A node stands for the words of a text, not for an id. So rows that share an id and differ in
+    text are texts of their own, each in the class of its links; such classes may then have the same
+    smallest id. A row with a null id is in the class of its text; where no row of a class has an id,
+    class_id is null. kept is true for the text with the smallest id of its class (of several with
+    this id for one), in all rows that repeat it.
     """
+    return _classified(docs, id_col, text_col).select("doc_id", "class_id", "class_size", "kept")
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates with raw, the digest of a row's text."""
     packed = stretches(docs, id_col, text_col)
     n, size = packed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = (max(LEAST_PARTS, size // PART_BYTES) - 1).bit_length()
     signed = cut(sign(with_frequencies(packed, bits), n), "near-signed")
-    contents = signed.groupBy("content").agg(F.min("doc_id").alias("node"), F.count("*").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    free(packed)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("first")
+    contents = signed.groupBy("content").agg(first, F.count("*").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    # numbered in a fixed order, so that a rerun takes the same pivots
+    contents = contents.sortWithinPartitions("content").withColumn("node", F.monotonically_increasing_id())
     contents = cut(contents, "near-contents")
-    # an id that stands for several contents is a node with the first of them
-    nodes = contents.where("node is not null").dropDuplicates(["node"]).select("node", "content", "sig", "bands")
-    nodes = cut(nodes, "near-nodes")
+    nodes = contents.select("node", "content", F.col("first.doc_id").alias("first_id"), "sig", "bands")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """(node, text, df) of the wanted nodes. A Bloom filter of bounded size keeps most others from being shuffled."""
         # the same plan at every size: a merge join also where the wanted ones are few
-        wanted = cut(nodes.join(wanted.hint("merge"), "node", "left_semi").select("node", "content"), "near-wanted")
-        size = min(MOST_WORDS, max(1, wanted.count() // 8))
-        level = (cut(bloom_words(wanted.select(F.col("node").cast("string").alias("key")), 0, size), "near-filter"), size, HASHES)
+        wanted = cut(nodes.join(wanted.hint("merge"), "node", "left_semi").select("node", "content", "first_id"), "near-wanted")
+        few = Few(wanted, F.col("first_id"))
+        asked = wanted.select("node", F.col("content").alias("wanted_content"), "first_id").hint("merge")
 
         def of_wanted(rows: DataFrame) -> DataFrame:
-            return rows.join(wanted.hint("merge"), ["node", "content"], "left_semi").dropDuplicates(["node"]).drop("content")
+            same = (F.col("content") == F.col("wanted_content")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+            return rows.join(asked, same).drop("content", "wanted_content", "first_id", "doc_id").dropDuplicates(["node"])
 
         def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 contents = [content_of(words(t.as_buffer().to_pybytes())) for t in batch.column(1)]
                 yield batch.append_column("content", pa.array(contents, pa.binary()))
 
-        rows = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-        rows = rows.where(passes(F.col("node").cast("string"), 0, level)).mapInArrow(digest, "node long, text binary, content binary")
-        known = signed.select(F.col("doc_id").alias("node"), "content", "df").where(passes(F.col("doc_id").cast("string"), 0, level))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+        rows = few.split(rows, F.col("doc_id"))[0].mapInArrow(digest, "doc_id long, text binary, content binary")
+        known = few.split(signed.select("doc_id", "content", "df"), F.col("doc_id"))[0]
         return of_wanted(rows).join(of_wanted(known).hint("merge"), "node")
 
-    comps = components(near_links(nodes, texts_of, n))
-    found = contents.select("content", "node", "size").join(comps, "node", "left").withColumn("class_id", F.coalesce("comp", "node"))
-    found = cut(found.select("content", "size", "class_id"), "near-classes")
-    sizes = found.groupBy("class_id").agg(F.sum("size").alias("class_size"))
-    sizes = sizes.withColumnRenamed("class_id", "sized")
-    found = found.join(sizes, F.col("class_id").eqNullSafe(F.col("sized"))).select("content", "size", "class_id", "class_size")
-    found = cut(found, "near-sized")
+    comps = near_components(nodes, texts_of, n)
+    found = contents.select("content", "node", "size", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    found = cut(found.select("content", "size", "first", "comp"), "near-classes")
+    best = F.min(F.struct("first.none", "first.doc_id", "first.raw", "content")).alias("best")
+    classes = cut(found.groupBy("comp").agg(F.sum("size").alias("class_size"), F.count("*").alias("n"), best), "near-sizes")
+    hot = heavy(classes, "n", found.count()).select("comp")
+    found = cut(join_hot(found, classes.drop("n"), "comp", hot, "content").select("content", "size", "class_size", "best"), "near-sized")
     hot = heavy(found, "size", n).select("content")
-    out = join_hot(signed.select("doc_id", "content"), found, "content", hot, "doc_id")
-    kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return out.select("doc_id", "class_id", "class_size", kept.alias("kept"))
+    out = join_hot(signed.select("doc_id", "raw", "content"), found, "content", hot, "raw")
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("raw") == F.col("best.raw")) & (F.col("content") == F.col("best.content"))
+    return out.select("doc_id", "raw", F.col("best.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class: the rows whose id is the class's id."""
-    gone = cut(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gl_gone")), "near-gone")
-    return docs.join(gone, F.col(id_col) == F.col("__gl_gone"), "left_anti")
+    """docs with one row of each class, the one that near_duplicates keeps; all columns are kept.
+
+    Null and empty texts are one class, of which one row stays; rows that repeat an id and its text
+    too. A text that shares its id with others is judged by itself. An empty table stays empty. Only
+    rows whose id may be that of a row to drop are shuffled.
+    """
+    judged = cut(_classified(docs, id_col, text_col).groupBy("doc_id", "raw").agg(F.count("*").alias("n"), F.max("kept").alias("kept")), "near-judged")
+    marks = judged.where("not kept or n > 1").select(F.col("doc_id").alias("__gl_id"), F.col("raw").alias("__gl_raw"), F.col("kept").alias("__gl_kept"))
+    some, others = Few(marks, F.col("__gl_id")).split(docs, F.col(id_col))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__gl_id")) & (raw_digest(F.col(text_col)) == F.col("__gl_raw"))
+    some = some.join(marks, same, "left").where("__gl_kept is null or __gl_kept")
+    once = Window.partitionBy("__gl_id", "__gl_raw").orderBy(F.lit(0))
+    repeated = some.where("__gl_kept").withColumn("__gl_n", F.row_number().over(once)).where("__gl_n = 1")
+    parts = [x.select(*[f"`{c}`" for c in docs.columns]) for x in (some.where("__gl_kept is null"), repeated, others)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates on documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
