@@ -17,11 +17,13 @@ from graphloom.plans.algebra import Triple
 from graphloom.storage import SO, GraphStore
 
 SINGLE, REDUCED, STATS, LOG, PROFILE = "single_table", "reductions", "reduction_stats", "reduction_log", "term_profile"
+MASKS = "term_masks"
 #: ss: the subject is a subject of the other predicate; so: the subject is an object of it; and so on.
 TYPES = ("ss", "so", "os", "oo")
 MOST_BROADCAST_IDS = 100_000
 #: A row for every reduction that isn't empty. What was looked at is in COVERED, and a pair in there without a row is empty.
 STATS_SCHEMA = "id long, p1 string, p2 string, type string, n_tuples long, n_rows long, sf double, build string"
+_BITS = 63
 COVERED = "reduction_covered"
 COVERED_SCHEMA = "kinds array<string>, first array<string>, second array<string>"
 
@@ -56,16 +58,37 @@ def profiled(store: GraphStore, kinds: Iterable[str] = TYPES, keep: bool = False
     return out
 
 
+def term_masks(store: GraphStore) -> DataFrame:
+    """(k, s_0, s_1, ..., o_0, o_1, ...): for each term a bit for every predicate that has it as subject, and as object.
+
+    Bits are combined by a plain hash aggregation. 63 predicates share a column, for a layout that has three
+    columns a predicate anyway.
+    """
+    spark, terms = store.spark, list(store.predicates)
+    bits = spark.createDataFrame([(t, i // _BITS, 1 << i % _BITS) for i, t in enumerate(terms)], "p string, word int, bit long")
+    ends = F.array(*[F.struct(F.col(c).alias("k"), F.lit(c).alias("end")) for c in ("s", "o")])
+    places = store.triples().join(F.broadcast(bits), "p").select("word", "bit", F.explode(ends).alias("x")).select("word", "bit", "x.*")
+    words = range(-(-len(terms) // _BITS))
+    of = lambda c, w: F.bit_or(F.when((F.col("end") == c) & (F.col("word") == w), F.col("bit")).otherwise(0)).alias(f"{c}_{w}")
+    return places.groupBy("k").agg(*[of(c, w) for c in ("s", "o") for w in words])
+
+
 def build_single(store: GraphStore, mode: str = "errorifexists", keep: bool = False) -> None:
     """s, o and a flag ss_, so_, os_ for every predicate, partitioned by p."""
-    kinds = ("ss", "so", "os")
-    rows = profiled(store, kinds, keep)
-    # a flag is a cell of a map that is made once a row; absent is false
-    flags = [F.array_contains(k, q.term).alias(f"{k}_{q.column}") for k in kinds for q in store.predicates.values()]
+    store.write(term_masks(store), MASKS, "overwrite")
+    masks, rows = store.read(MASKS), store.triples()
+    for mine in ("s", "o"):
+        own = masks.select(F.col("k").alias("__k"), *[F.col(c).alias(f"{mine}{c}") for c in masks.columns if c != "k"])
+        rows = rows.join(own, F.col(mine) == F.col("__k")).drop("__k")
+    flags = []
+    for kind in ("ss", "so", "os"):
+        for i, q in enumerate(store.predicates.values()):
+            set_ = F.col(f"{kind}_{i // _BITS}").bitwiseAND(F.lit(1 << i % _BITS).cast("long")) != 0
+            flags.append(set_.alias(f"{kind}_{q.column}"))
     spread = F.pmod(F.xxhash64("s"), F.lit(16))
     store.write(rows.repartition("p", spread).select("s", "o", "p", *flags), SINGLE, mode, "p")
     if not keep:
-        store.drop(PROFILE)
+        store.drop(MASKS)
 
 
 def single_schema(store: GraphStore) -> ST.StructType:

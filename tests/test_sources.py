@@ -90,7 +90,7 @@ def test_command_line_options(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["triples"] == 2
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
     store = GraphStore(spark, str(tmp_path / "u"))
-    assert store.has("term_profile") and any(".zstd" in n for n in store.folder.names("term_profile"))
+    assert store.has("term_masks") and any(".zstd" in n for n in store.folder.names("term_masks"))
     assert main([*load, "-d", str(tmp_path / "all"), "-f", "tt"]) == 0  # as in the input: no -u
     assert json.loads(capsys.readouterr().out)["triples"] == 3
     out = str(tmp_path / "out")
