@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.common import cut, table
+from graphloom.llm.common import cut, free, table
 from graphloom.llm.exact_dedup import drop_exact_copies
 from graphloom.llm.mixing import take_mix
 from graphloom.llm.near_dup import drop_near_duplicates
@@ -54,8 +54,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each stage's rows are written and read again."""
+    """All stages on documents; each stage's rows are written and read again, and removed when the next one's are written.
+
+    Null and empty texts are documents like others, repeated rows are copies, and an empty table gives
+    an empty result; each stage's operator states how it treats them.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        free(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
