@@ -167,6 +167,7 @@ class GraphStore:
         name = f"`{database}`.`{table}`"
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.spark.catalog.createTable(f"{database}.{table}", path=f"{self.path}/triples", source="parquet", schema=ST.StructType([SPO["s"], SPO["o"], SPO["p"]]))
+        self.spark.sql(f"CREATE TABLE {name} (s STRING, o STRING, p STRING) USING parquet PARTITIONED BY (p) LOCATION '{self.path}/triples'")
+        self.spark.sql(f"MSCK REPAIR TABLE {name}")
         self.spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
         return self.spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Statistics'")

@@ -96,3 +96,13 @@ def test_command_line_options(spark, tmp_path, capsys):
     out = str(tmp_path / "out")
     main(["query", "-d", str(tmp_path / "u"), "-i", str(tmp_path / "a.sparql"), "-f", "st", "-o", out, "-e", "-S", "--set", "spark.sql.shuffle.partitions=2"])
     assert got(spark.read.parquet(f"{out}/a")) == [("<http://e/1>", "<http://e/2>")]
+
+
+def test_statistics_for_the_optimizer(spark, tmp_path):
+    triples = spark.createDataFrame([("e:1", "e:p", "e:2"), ("e:2", "e:q", "x"), ("e:3", "e:q", "x")], "s string, p string, o string")
+    store = GraphStore.create(triples, str(tmp_path / "g"))
+    try:
+        assert "3 rows" in store.compute_stats("graphloom_test").first()["data_type"]
+        assert spark.table("graphloom_test.triples").where("p = 'e:q'").count() == 2
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS graphloom_test CASCADE")
