@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WHITE_CLASS, cut, heavy, table, text_of
+from graphloom.llm.common import WHITE_CLASS, Few, cut, heavy, table, text_of
 
 SALTS = 64
 #: n_codepoints and doc_id in one decimal, so that their order is a plain max() of a fixed-width
@@ -65,8 +65,11 @@ def exact_dedup(
 
     Null and empty texts are one group. A null id loses every tie and its row's keep_id is null
     only where all ids of the group are null. Repeated rows of one id count separately in
-    group_size and share one verdict. Other columns of docs aren't read. Should two contents ever
-    share a digest, their rows are matched by content instead.
+    group_size and share one verdict. Texts of any length are compared whole; an empty table gives
+    an empty result. Other columns of docs aren't read. Should two contents ever share a digest,
+    their rows are matched by content instead.
+
+    A digest that one row alone has needs no combining: only the others' contents are shuffled.
     """
     text = text_of(text_col)
     rows = docs.select(
@@ -74,8 +77,11 @@ def exact_dedup(
         F.length(text).alias("n_codepoints"),
         normalised(text).alias("content"),
     ).withColumn("digest", digest(F.col("content")))
-    keyed = rows.withColumn("rank", _rank(F.col("n_codepoints"), F.col("doc_id")))
-    contents = content_classes(keyed, salts)
+    sha = F.col("digest") if digest is sha256 else sha256(F.col("content"))
+    slim = cut(rows.select("doc_id", "n_codepoints", "digest", sha.alias("sha")), "exact-digests")
+    slim, alone = repeated_digests(slim).split(slim, F.col("digest"))
+    some = Few(slim, F.col("doc_id")).split(rows, F.col("doc_id"))[0]
+    contents = content_classes(some.withColumn("rank", _rank(F.col("n_codepoints"), F.col("doc_id"))), salts)
     classes = cut(
         contents.groupBy("digest").agg(
             F.count("*").alias("n_contents"), F.max("rank").alias("rank"), F.sum("size").alias("size")
@@ -90,12 +96,11 @@ def exact_dedup(
     found = classes.join(hot, "digest", "left").where("n_contents = 1")
     salt_list = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     found = found.select("digest", "rank", "size", F.explode(salt_list).alias("salt"))
-    slim = rows.select("doc_id", "n_codepoints", "digest", *([sha256(F.col("content")).alias("sha")] if digest is not sha256 else []))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "n_codepoints"), F.lit(salts)).cast("int")).otherwise(0)
     slim = slim.join(hot, "digest", "left").withColumn("salt", salt).drop("hot")
     parts = [slim.join(found, ["digest", "salt"])]
     if clashing:
-        both = rows.join(clash, "digest", "left_semi").withColumn("sha", sha256(F.col("content")))
+        both = some.join(clash, "digest", "left_semi").withColumn("sha", sha256(F.col("content")))
         parts.append(both.join(contents.join(clash, "digest", "left_semi"), ["digest", "content"]))
     keep_id, longest = _doc_id(F.col("rank")), F.floor(F.col("rank") / _big(_LOW))
     out = [
@@ -104,31 +109,53 @@ def exact_dedup(
             keep_id.alias("keep_id"),
             F.col("size").alias("group_size"),
             (F.col("doc_id").eqNullSafe(keep_id) & (F.col("n_codepoints") == longest)).alias("kept"),
-            F.col("sha" if "sha" in p.columns else "digest").alias("text_sha256"),
+            F.col("sha").alias("text_sha256"),
             F.col("n_codepoints").cast("long").alias("n_codepoints"),
         )
         for p in parts
     ]
-    return reduce(DataFrame.unionByName, out)
+    one = F.lit(1).cast("long")
+    own = alone.select("doc_id", F.col("doc_id").cast("long").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), F.col("n_codepoints").cast("long").alias("n_codepoints"))
+    return reduce(DataFrame.unionByName, [*out, own])
+
+
+def repeated_digests(rows: DataFrame) -> Few:
+    """The digests that more than one row has: a count of digests alone, without their contents."""
+    several = rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    return Few(cut(several, "exact-repeated"), F.col("digest"))
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """docs without exact copies, all its columns kept; of repeated rows of one id one stays.
 
-    Only the winner's rank and digest travel to the rows' side of the last join.
+    Nulls, empty and very long texts are treated as by exact_dedup; an empty table stays empty. Rows
+    whose id is surely not one of those that share their digest with another row go straight on. The
+    others meet the winner of their content, and content is compared with content.
     """
-    content, text = normalised(text_of(text_col)), text_of(text_col)
-    keyed = docs.select(content.alias("content"), _rank(F.length(text), F.col(id_col)).alias("rank"))
-    keyed = keyed.withColumn("digest", sha256(F.col("content")))
-    winners = cut(content_classes(keyed).select("digest", "rank"), "exact-winners")
-    winners = winners.select(F.col("digest").alias("__gl_digest"), F.col("rank").alias("__gl_rank"))
-    rows = docs.withColumn("__gl_rank", _rank(F.length(text), F.col(id_col))).withColumn("__gl_digest", sha256(content))
-    left = rows.join(winners, ["__gl_digest", "__gl_rank"], "left_semi")
-    once = Window.partitionBy("__gl_digest", "__gl_rank").orderBy(F.lit(0))
-    return left.withColumn("__gl_n", F.row_number().over(once)).where("__gl_n = 1").select(*docs.columns)
+    text = text_of(text_col)
+    rows = docs.withColumn("__gl_content", normalised(text)).withColumn("__gl_digest", sha256(F.col("__gl_content")))
+    rows = rows.withColumn("__gl_rank", _rank(F.length(text), F.col(id_col)))
+    slim = cut(rows.select(F.col(id_col).alias("doc_id"), F.col("__gl_digest").alias("digest")), "exact-digests")
+    suspects = repeated_digests(slim).split(slim, F.col("digest"))[0]
+    some, alone = Few(suspects, F.col("doc_id")).split(rows, F.col(id_col))
+    keyed = some.select(*[F.col(f"__gl_{c}").alias(c) for c in ("content", "rank", "digest")])
+    classes = cut(content_classes(keyed, salts), "exact-winners")
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    winners = classes.select("digest", "content", F.col("rank").alias("best"), "size")
+    hot = F.broadcast(heavy(classes, "size", total).select("digest", F.lit(True).alias("hot")).distinct())
+    salt_list = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    winners = winners.join(hot, "digest", "left").withColumn("salt", F.explode(salt_list))
+    winners = winners.select(*[F.col(c).alias(f"__gl_{c}") for c in ("digest", "content", "best", "salt")])
+    hot = hot.select(F.col("digest").alias("__gl_digest"), F.col("hot").alias("__gl_hot"))
+    salt = F.when(F.col("__gl_hot"), F.pmod(F.xxhash64("__gl_rank"), F.lit(salts)).cast("int")).otherwise(0)
+    found = some.join(hot, "__gl_digest", "left").withColumn("__gl_salt", salt).join(winners, ["__gl_digest", "__gl_content", "__gl_salt"])
+    once = Window.partitionBy("__gl_digest", "__gl_content", "__gl_rank").orderBy(F.lit(0))
+    left = found.where("__gl_rank = __gl_best").withColumn("__gl_n", F.row_number().over(once)).where("__gl_n = 1")
+    return left.select(*docs.columns).unionByName(alone.select(*docs.columns))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_dedup on documents."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
