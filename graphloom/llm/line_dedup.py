@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -12,10 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WHITE, cut, heavy, join_hot, table, text_of
+from graphloom.llm.common import WHITE, Few, cut, free, heavy, join_hot, table, text_of
 
 LEAST_CODEPOINTS = 20
 LEAST_DOCUMENTS = 3
+#: Keys that many documents hold are sent to all tasks: no more than so many, none of more bytes than that (20 MB in all).
+MOST_FREQUENT, LONGEST_FREQUENT = 20_000, 1_000
 #: Cells a line, hash functions, and the most cells of a filter (64 MB of bits). Past the most, the
 #: filters fill up and more lines are suspected; results stay exact.
 CELLS, HASHES, MOST_CELLS = 8, 2, 2**29
@@ -113,15 +114,28 @@ def suspected(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(look, "doc_id long, key string")
 
 
-def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(drop_id, drops): for each document the keys whose lines it loses."""
+def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_documents: int = LEAST_DOCUMENTS) -> tuple[dict[str, int | None], DataFrame]:
+    """(frequent, drops): what decides which lines go.
+
+    frequent: {key: largest id} of the keys that over a thousandth of the documents hold. There are no
+    more than MOST_FREQUENT of them and none is longer than LONGEST_FREQUENT, so tasks can look
+    them up. drops(drop_id, drops): for each document the other keys whose lines it loses.
+    """
     rows = cut(suspected(docs, id_col, text_col), "line-suspects")
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= least_documents)
     groups = cut(groups, "line-repeats")
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    repeats = join_hot(rows, groups, "key", heavy(groups, "n", total).select("key"), "doc_id")
+    total, n = rows.count(), docs.count()
+    often = (F.col("n") * 1000 > n) & (F.col("n") * MOST_FREQUENT > total) & (F.octet_length("key") <= LONGEST_FREQUENT)
+    frequent = {r["key"]: r["last"] for r in groups.where(often).select("key", "last").toLocalIterator()}
+    rest = cut(groups.where(~often), "line-rest")
+    # suspects that are frequent, or weren't repeats after all, stay where they are
+    light = rows.join(F.broadcast(groups.where(often).select("key")), "key", "left_anti")
+    light = Few(rest, F.col("key")).split(light, F.col("key"))[0]
+    repeats = join_hot(light, rest, "key", heavy(rest, "n", total).select("key"), "doc_id")
     repeats = repeats.where(~F.col("doc_id").eqNullSafe(F.col("last")))
-    return repeats.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("key").alias("drops"))
+    drops = cut(repeats.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("key").alias("drops")), "line-drops")
+    free(rows, groups, rest)
+    return frequent, drops
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -131,19 +145,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased. Keys of at least 20 code points in
     at least three rows lose all their lines but those of the largest id that has them; a null id
     is below all others, and a key that only null ids have loses none. Rows that share an id count
-    separately and are treated alike. Other columns aren't read.
+    separately and are treated alike. A text of any length is one row and is read whole; an empty
+    table gives an empty result. Other columns aren't read.
+
+    Only texts that lose a line of a key that isn't frequent are shuffled, to meet their lists.
     """
-    drops = lines_to_drop(docs, id_col, text_col, least_documents)
+    frequent, drops = lines_to_drop(docs, id_col, text_col, least_documents)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("doc_id", "text", "drops")
+    some, others = Few(drops, F.col("drop_id")).split(rows, F.col("doc_id"))
+    listed = some.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("doc_id", "text", "drops")
+    joined = listed.unionByName(others.withColumn("drops", F.lit(None).cast("array<string>")))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, missing = shared.value, object()
         for batch in batches:
             kept, lines_n, dropped_n = [], [], []
-            for text, drops in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for doc_id, text, drops in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 lines = (text.as_py() or "").split("\n")
                 gone = set(drops or ())
-                left = [x for x in lines if line_key(x) not in gone] if gone else lines
+                left = []
+                for x in lines:
+                    if len(x) >= LEAST_CODEPOINTS and (gone or often):
+                        key = line_key(x)
+                        if key in gone or often.get(key, missing) not in (missing, doc_id):
+                            continue
+                    left.append(x)
                 kept.append("\n".join(left))
                 lines_n.append(len(lines))
                 dropped_n.append(len(lines) - len(left))
@@ -156,6 +183,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_lines on documents: doc_id, n_lines, n_dropped and the digest of the text that is left."""
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
