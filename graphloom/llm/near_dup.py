@@ -462,6 +462,7 @@ def near_components(nodes: DataFrame, texts_of, documents: int) -> DataFrame:
     pairs = cut(agreeing(_stars(buckets, total), sigs), "near-pairs")
     texts = cut(texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()), "near-texts")
     links = cut(verify(pairs, texts, documents), "near-verified")
+    free(texts, sizes, shared, scores)
     compared = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     comps = components(links)
@@ -476,9 +477,10 @@ def near_components(nodes: DataFrame, texts_of, documents: int) -> DataFrame:
             links = links.unionByName(new)
             comps = components(links, comps)
         if first is None or not found.where("a is null").limit(1).count():
-            return comps
+            break
         compared = compared.unionByName(fresh)
         again = cut(_open_buckets(again, comps), "near-open")
+    free(texts, more, sigs, buckets, again)
     return comps
 
 
