@@ -39,6 +39,10 @@ _FRAGMENT = rf"(?:[^\W_]|[{_SIGN}]){{1,2}}"
 _SPACED = re.compile(rf"(?<!\S){_FRAGMENT}(?:[ .\-_*~']+{_FRAGMENT}){{2,}}(?!\S)")
 _ODD = re.compile(r"[\W\d_]|(.)\1")
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+_INNER = re.compile(r"[\W\d_]|(.)\1\1")
+#: Letters and what stands for them on one letter, so that all readings of a token look alike; nothing else is kept.
+_LOOKS = str.maketrans({c: {"l": "i"}.get(x[0], x[0]) for c, x in (*LEET.items(), ("l", "l"))})
+_AGAIN = re.compile(r"(.)\1+")
 
 
 def _symbols(data: bytes) -> np.ndarray:
@@ -160,9 +164,7 @@ def readings_of(token: str, model: CharacterModel) -> list[list[str]]:
     bare = token.strip(_EDGE)
     if bare == token and not _ODD.search(token):
         return [[token]]
-    tries = [model.restore(token)]
-    if bare and not _ODD.search(bare):
-        tries.append(bare)
+    tries = [bare] if bare and not _ODD.search(bare) else [model.restore(token)]
     if bare != token and any(c in LEET for c in token[: len(token) - len(token.lstrip(_EDGE))] + token[len(token.rstrip(_EDGE)) :]):
         tries.append(model.restore(token, trim=False))
     if any(c in SEPARATORS for c in bare):
@@ -179,6 +181,19 @@ def words_of(token: str, model: CharacterModel) -> list[str]:
     return list(dict.fromkeys(w for words in readings_of(token, model) for w in words))
 
 
+def plain_words(token: str, model: CharacterModel) -> list[str]:
+    """The words that a token counts for in training: itself without signs at its edges, decoded if there are others inside."""
+    bare = token.strip(_EDGE)
+    if not bare:
+        return []
+    return model.restore(token).split() if _INNER.search(bare) else [bare]
+
+
+def looks(text: str) -> str:
+    """The same for a word and all ways to disguise it by signs for letters and by letters put twice or more."""
+    return _AGAIN.sub(r"\1", text.translate(_LOOKS))
+
+
 def features_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
 
@@ -193,20 +208,64 @@ class ToxicityModel:
     counts: dict[str, tuple[int, int]] = field(default_factory=dict)
     coefficients: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0)
     _cache: dict[str, float] = field(default_factory=dict)
+    _found: dict[str, tuple] = field(default_factory=dict)
+    _looks: tuple[set[str], set[str]] | None = None
+
+    def may_matter(self, token: str) -> bool:
+        """Whether some reading of a token can have a feature of the lexicon; only then it is decoded.
+
+        Readings of a token without signs inside differ by letters left out that repeat the one before and by
+        how many of the signs at its edges are letters of it: by their looks no more than by these signs. Signs
+        of several kinds at one edge could be a word of their own, so such tokens are decoded.
+        """
+        if self._looks is None:
+            self._looks = ({looks(f) for f in self.counts if f[-1] != "*"}, {looks(f[:-1]) for f in self.counts if f[-1] == "*"})
+        bare = token.strip(_EDGE)
+        if not bare or _INNER.search(bare):
+            return True
+        at = token.index(bare)
+        head, tail = ("".join(c for c in x if c in LEET) for x in (token[:at], token[at + len(bare) :]))
+        if len(set(head)) > 1 or len(set(tail)) > 1:
+            return True
+        whole, starts = self._looks
+        for v in {looks(head), looks(tail), *(looks(h + bare + t) for h in (head, "") for t in (tail, ""))}:
+            if v in whole or any(v[:n] in starts for n in range(1, PREFIXES[-1] + 1)):
+                return True
+        return False
 
     def weight(self, feature: str, own: int | None = None) -> float:
         """The feature's log-odds; own: as if a training text with this label weren't there."""
         if (found := self.counts.get(feature)) is None:
             return 0.0
-        pos, neg = found[0] - (own == 1), found[1] - (own == 0)
+        # a reading that only scoring knows may give a text a feature that it wasn't counted with
+        pos, neg = found[0] - (own == 1), max(0, found[1] - (own == 0))
         if pos < LEAST_TEXTS:
             return 0.0
         w = math.log((pos + 0.5) / (self.toxic - (own == 1) + 1)) - math.log((neg + 0.5) / (self.clean - (own == 0) + 1))
         return w if w >= LEAST_WEIGHT else 0.0
 
+    def features(self, token: str) -> tuple[tuple[tuple[str, ...], ...], ...]:
+        """For each reading of a token and each of its words the features that the lexicon has; readings without any are left out."""
+        if (known := self._found.get(token)) is not None:
+            return known
+        bare = token.strip(_EDGE)
+        if bare and not _ODD.search(bare) and not any(c in LEET for c in token.replace(bare, "", 1)):
+            readings = [[bare]]
+        else:
+            readings = readings_of(token, self.characters) if self.may_matter(token) else []
+        out = []
+        for words in readings:
+            own = tuple(f for w in words if (f := tuple(x for x in features_of(w) if x in self.counts)))
+            if own:
+                out.append(own)
+        if len(self._found) > 400_000:
+            self._found.clear()
+        self._found[token] = tuple(out)
+        return self._found[token]
+
     def token_weight(self, token: str, own: int | None = None) -> float:
         """The weight of the reading that says most."""
-        return max((sum(max(self.weight(f, own) for f in features_of(w)) for w in words) for words in readings_of(token, self.characters)), default=0.0)
+        return max((sum(max(self.weight(f, own) for f in word) for word in words) for words in self.features(token)), default=0.0)
 
     def inputs(self, text: str | None, own: int | None = None) -> tuple[float, float, float]:
         """(sum and largest of the tokens' weights, log of the number of distinct tokens)."""
@@ -281,7 +340,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         seen: dict[str, list[int]] = {}
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {f for t in tokens_of(text or "") for w in words_of(t, characters) for f in features_of(w)}
+                own = {f for t in tokens_of(text or "") for w in plain_words(t, characters) for f in features_of(w)}
                 for f in own:
                     seen.setdefault(f, [0, 0])[1 - y] += 1
         yield pa.RecordBatch.from_arrays(

@@ -377,6 +377,25 @@ def test_restoring(labelled):
     assert toxicity.spaced_runs("d  u -- n . c * e") == ["d  u -- n . c * e"] and toxicity.spaced_runs("it is so to be") == []
 
 
+def test_tokens_are_decoded_wherever_that_can_matter(labelled):
+    """The weight of any token is that without the look at its letters that saves decoding."""
+    characters = toxicity.CharacterModel(toxicity.trigram_counts(labelled[0]))
+    words = ["dunce", "clown", "nitwit", "asses", "letter"]
+    model = toxicity.ToxicityModel(characters, toxic=50, clean=50, counts={f: (40, 0) for w in words for f in toxicity.features_of(w)})
+    every = toxicity.ToxicityModel(characters, toxic=50, clean=50, counts=model.counts)
+    every.may_matter = lambda token: True
+    rng = random.Random(12)
+    back = {"l": "1|", "i": "1!|", "o": "0", "s": "5$", "e": "3", "t": "7+", "c": "(", "a": "4@"}
+    found = 0
+    for _ in range(3000):
+        w = rng.choice([*words, "garden", "dunnes", "lowness", "assort"])
+        token = "".join(c * rng.choice([1, 1, 1, 2, 3]) if rng.random() < 0.7 else rng.choice(back.get(c, c)) for c in w)
+        token = rng.choice(["", "", "(", "!!", "$", "**"]) + token + rng.choice(["", "", ",", "!", "$$$", "###", ")."])
+        assert model.token_weight(token) == every.token_weight(token), token
+        found += every.token_weight(token) > 0
+    assert found > 1000
+
+
 def paths_by_hand(model, token, trim):
     """(score, text) of every path through the lattice of a token."""
     edge = toxicity._EDGE
