@@ -1,4 +1,4 @@
-"""Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded and verified."""
+"""Near-duplicates: improved consistent weighted sampling over TF-IDF shingles and minima over their sets, banded and verified."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Few, cut, free, heavy, join_hot, table
+from graphloom.llm.common import Few, arrow_batches, cut, free, give_back_after, heavy, join_hot, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and samples a band: texts of similarity 0.8 share no band with probability (1 - 0.8**3)**14 = 4e-5.
@@ -26,12 +26,16 @@ LEAST_AGREEMENT = 0.57
 _POOL = 2**16
 _CHUNK = 32_768
 _SIG = BANDS * ROWS
+#: JVM and Python hand each other rows of texts and stretches in batches of about so many bytes.
+BATCH_BYTES = 2**23
 #: More samples of texts whose buckets stay open, and the least agreement of all 170: over three standard deviations below 0.8.
 MORE, LEAST_AGREEMENT_ALL = 128, 0.7
 #: Members of a bucket that are compared with each other, or with as many others, in one task.
 BLOCK = 4_096
 #: Of the members of one component that agree with a text, the texts of so many are read first, and all the others only if these don't link it.
 FIRST = 8
+#: Of each view, weights and sets: bytes of a text's samples, once more samples are drawn, and of 32 bits of each band's key.
+_WIDTH, _OWN = _SIG + MORE, 4 * BANDS
 
 _rng = np.random.RandomState(20_240_229)
 _ODD = _rng.randint(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -148,6 +152,7 @@ def raw_digest(text: Column) -> Column:
 def stretches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(stretch, data, n, size): all rows' ids and texts, packed by stretches of about STRETCH_BYTES."""
 
+    @give_back_after
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -178,6 +183,7 @@ def with_frequencies(packed: DataFrame, bits: int) -> DataFrame:
     shift = np.uint64(64 - bits)
     schema = "part int, stretch long, n int, data binary"
 
+    @give_back_after
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for stretch, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -201,6 +207,7 @@ def with_frequencies(packed: DataFrame, bits: int) -> DataFrame:
                     names=["part", "stretch", "n", "data"],
                 )
 
+    @give_back_after
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
         now = None
@@ -266,16 +273,30 @@ def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray, ks: range = range(
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def set_samples(h: np.ndarray, starts: np.ndarray, ks: range = range(_SIG)) -> np.ndarray:
+    """Samples like those of samples(), for sets: two documents draw the same with the probability of their plain Jaccard similarity."""
+    out = np.empty((len(starts), len(ks)), np.uint32)
+    for n, k in enumerate(ks):
+        out[:, n] = _mix(np.minimum.reduceat(h * _SEEDS[k], starts) + np.uint64(k)) >> np.uint64(32)
+    return out
+
+
+def band_keys(sig: np.ndarray, view: int = 0) -> np.ndarray:
+    """A key for each band; the last bit tells the view: 0 for weights, 1 for sets."""
     x = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    return _mix((x * _ODD[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[60])
+    keys = _mix((x * _ODD[:ROWS]).sum(1, dtype=np.uint64) + np.arange(view * BANDS, (view + 1) * BANDS, dtype=np.uint64) * _ODD[60])
+    return keys & ~np.uint64(1) | np.uint64(view)
+
+
+def both_keys(weighted: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    return np.concatenate([band_keys(weighted), band_keys(sets, 1)])
 
 
 def sign(asked: DataFrame, documents: int) -> DataFrame:
     """(doc_id, raw, content, df, sig, bands) of with_frequencies().
 
     raw is a digest of the text, content one of its words; df the document frequency of each shingle,
-    sig the samples and bands a key for every band.
+    sig the samples by weights and 8 bits of each by sets, and bands a key for every band of both.
     """
 
     def signed(data: pa.Scalar, answers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -288,16 +309,19 @@ def sign(asked: DataFrame, documents: int) -> DataFrame:
         if len(distinct) != len(frequencies):
             raise ValueError(f"{len(frequencies)} document frequencies for {len(distinct)} shingles")
         df = np.split(frequencies[at], np.cumsum(lengths)[:-1])
-        sigs: list[np.ndarray | None] = [None] * len(found)
+        sigs: list[bytes | None] = [None] * len(found)
+        bands: list[np.ndarray | None] = [None] * len(found)
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> None:
             if held:
                 starts = np.cumsum([0] + [len(x[1]) for x in held[:-1]])
-                drawn = samples(np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), starts)
-                for (i, _, _), sig in zip(held, drawn, strict=True):
-                    sigs[i] = sig
+                h = np.concatenate([x[1] for x in held])
+                drawn = samples(h, np.concatenate([x[2] for x in held]), starts)
+                for (i, _, _), weighted, sets in zip(held, drawn, set_samples(h, starts), strict=True):
+                    sigs[i] = weighted.tobytes() + sets.astype(np.uint8).tobytes()
+                    bands[i] = both_keys(weighted, sets).view(np.int64)
             held.clear()
 
         for i, (h, tf) in enumerate(found):
@@ -314,12 +338,13 @@ def sign(asked: DataFrame, documents: int) -> DataFrame:
                 pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()),
                 pa.array(list(map(content_of, tokens)), pa.binary()),
                 pa.array([_shrunk(x) if len(x) else b"" for x in df], pa.binary()),
-                pa.array([None if x is None else x.tobytes() for x in sigs], pa.binary()),
-                pa.array([None if x is None else band_keys(x).view(np.int64) for x in sigs], pa.list_(pa.int64())),
+                pa.array(sigs, pa.binary()),
+                pa.array(bands, pa.list_(pa.int64())),
             ],
             names=["doc_id", "raw", "content", "df", "sig", "bands"],
         )
 
+    @give_back_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, answers = None, []
         for batch in batches:
@@ -342,31 +367,40 @@ def hot_ends(pairs: DataFrame, side: str, total: int) -> DataFrame:
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs(a, b) whose samples agree often enough to be worth reading their texts. Many may share a pivot b."""
+    """The pairs(a, b) whose samples of either view agree often enough to be worth reading their texts. Many may share a pivot b."""
     hot = hot_ends(pairs, "b", pairs.count())
     left = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     both = join_hot(left, sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b", hot, "a")
 
+    @give_back_after
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, _SIG) for i in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= LEAST_AGREEMENT))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 5 * _SIG) for i in (2, 3))
+            weighted = (x[:, : 4 * _SIG] == y[:, : 4 * _SIG]).reshape(-1, _SIG, 4).all(2).mean(1)
+            sets = (x[:, 4 * _SIG :] == y[:, 4 * _SIG :]).mean(1)
+            yield batch.select(["a", "b"]).filter(pa.array(np.maximum(weighted, sets) >= LEAST_AGREEMENT))
 
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long")
 
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of (sorted hashes, weights)."""
+    """The larger of the weighted Jaccard of (sorted hashes, weights) and the plain one of the sets of hashes.
+
+    Each copy of a text makes its shingles more frequent and so lighter than the shingles of an edit, which
+    are as rare as before: by weights alone the copies of a large group are the less alike the more there are.
+    """
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
     common = float(np.minimum(x[1][i], y[1][j]).sum())
     everything = float(x[1].sum() + y[1].sum()) - common
-    return common / everything if everything else 0.0
+    return max(common / everything, len(i) / (len(x[0]) + len(y[0]) - len(i)))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, documents: int, least: float = SIMILARITY) -> DataFrame:
-    """The pairs(a, b) whose texts have at least this weighted Jaccard similarity, with it.
+    """The pairs(a, b) whose texts have at least this similarity, with it.
 
     Both ends may be hot: the texts of such nodes are repeated for the tasks that their pairs are
     dealt to.
@@ -376,6 +410,7 @@ def verify(pairs: DataFrame, texts: DataFrame, documents: int, least: float = SI
     with_a = join_hot(pairs, ends[0], "a", hot_ends(pairs, "a", total), "b")
     both = join_hot(with_a, ends[1], "b", hot_ends(pairs, "b", total), "a")
 
+    @give_back_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
@@ -445,9 +480,10 @@ def _stars(buckets: DataFrame, total: int) -> DataFrame:
 def near_components(nodes: DataFrame, texts_of, documents: int) -> DataFrame:
     """(node, comp): what verified links connect among the nodes(node, sig, bands) that the bands bring together.
 
-    First every bucket's members are compared with its pivot. Members of buckets that still hold
-    several components meet again in buckets of two bands at a time (texts of similarity 0.8
-    share under two bands with probability 7e-4). There every pair across components is looked at;
+    Buckets are of both views, weights and sets. First every bucket's members are compared with its
+    pivot. Members of buckets that still hold several components meet again in buckets of two bands
+    of a view at a time (texts of similarity 0.8 in a view share under two of its bands with
+    probability 7e-4). There every pair across components is looked at;
     of those that agree, the texts of the FIRST best of each component are read, and if that links
     a text no other of that component needs to be. What is still apart is read in full afterwards.
     """
@@ -485,18 +521,21 @@ def near_components(nodes: DataFrame, texts_of, documents: int) -> DataFrame:
 
 
 def sign_more(texts: DataFrame, sigs: DataFrame, documents: int) -> DataFrame:
-    """(node, sig, own): 8 bits of each of the first samples and of MORE further ones, and 32 bits of each band's key."""
+    """(node, sig, own): 8 bits of each of the first samples and of MORE further ones, and 32 bits of each band's key; weights first, then sets."""
 
+    @give_back_after
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, bands = [], []
+            out, sets = [], []
             held: list[tuple[np.ndarray, np.ndarray]] = []
 
-            def flush(out=out, held=held) -> None:
+            def flush(out=out, sets=sets, held=held) -> None:
                 if held:
                     starts = np.cumsum([0] + [len(h) for h, _ in held[:-1]])
-                    found = samples(np.concatenate([h for h, _ in held]), np.concatenate([w for _, w in held]), starts, range(_SIG, _SIG + MORE))
+                    h = np.concatenate([h for h, _ in held])
+                    found = samples(h, np.concatenate([w for _, w in held]), starts, range(_SIG, _WIDTH))
                     out += list(found.astype(np.uint8))
+                    sets += list(set_samples(h, starts, range(_WIDTH)))
                 held.clear()
 
             size = 0
@@ -508,16 +547,16 @@ def sign_more(texts: DataFrame, sigs: DataFrame, documents: int) -> DataFrame:
                     flush()
                     size = 0
             flush()
-            first = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(2)]
-            bands = [band_keys(x).astype(np.uint32).tobytes() for x in first]
-            sigs_ = [np.concatenate([x.astype(np.uint8), y]).tobytes() for x, y in zip(first, out, strict=True)]
+            first = [np.frombuffer(x.as_buffer(), np.uint32, _SIG) for x in batch.column(2)]
+            bands = [(both_keys(x, y[:_SIG]) >> np.uint64(1)).astype(np.uint32).tobytes() for x, y in zip(first, sets, strict=True)]
+            sigs_ = [np.concatenate([x.astype(np.uint8), y, z.astype(np.uint8)]).tobytes() for x, y, z in zip(first, out, sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs_, pa.binary()), pa.array(bands, pa.binary())], names=["node", "sig", "own"])
 
     return texts.join(sigs, "node").select("node", "text", "sig", "df").mapInArrow(run, "node long, sig binary, own binary")
 
 
 def _across_components(open_: DataFrame, sigs: DataFrame, first: int | None) -> DataFrame:
-    """Pairs (a, b), a < b, of different components in a bucket(key, node, comp) whose samples agree.
+    """Pairs (a, b), a < b, of different components in a bucket(key, node, comp) whose samples agree in the bucket's view.
 
     A bucket's members are dealt to blocks of about BLOCK, and every two blocks meet in a task of their
     own. Members outside the largest component there are compared with all members of other
@@ -531,9 +570,13 @@ def _across_components(open_: DataFrame, sigs: DataFrame, first: int | None) ->
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = met.select("key", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     signed = sigs.select("node", "sig", F.col("own").alias("keys"))
-    rows = cells.join(signed, "node").select("key", "i", "j", "node", "comp", "own", "sig", "keys")
+    two = F.col("key").bitwiseAND(F.lit(255))
+    view = F.when(F.floor(two / BANDS) > two % BANDS, 1).otherwise(0)
+    parts = [F.col(c).substr((view * n + 1).cast("int"), F.lit(n)).alias(c) for c, n in (("sig", _WIDTH), ("keys", _OWN))]
+    rows = cells.join(signed, "node").select("key", "i", "j", "node", "comp", "own", *parts)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
+    @give_back_after
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes, bytes]] = []
         now = None
@@ -543,7 +586,7 @@ def _across_components(open_: DataFrame, sigs: DataFrame, first: int | None) ->
             sig = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), -1)
             own = np.frombuffer(b"".join(x[4] for x in held), np.uint32).reshape(len(held), BANDS)
             key, i, j = now
-            two = divmod(key & 255, BANDS)
+            two = sorted(divmod(key & 255, BANDS))
             values, sizes_ = np.unique(comp, return_counts=True)
             others = np.flatnonzero(comp != values[sizes_.argmax()])
             main = np.ones(len(node), bool)
@@ -588,12 +631,20 @@ def _across_components(open_: DataFrame, sigs: DataFrame, first: int | None) ->
 
 
 def _two_band_buckets(open_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, node) of the nodes in open buckets, keyed by every two of their bands; the key's last byte tells which two."""
-    left = open_.select("node").distinct().join(nodes.select("node", "bands"), "node")
+    """(key, node) of the nodes in open buckets, keyed by every two bands of a view; the key's last byte tells which two.
+
+    Bands i < j are i * BANDS + j for weights and j * BANDS + i for sets. Nodes of different components that share
+    two bands of a view meet in two open buckets of it, so a node with one needs no keys there.
+    """
+    views = open_.groupBy("node", F.col("key").bitwiseAND(F.lit(1)).cast("int").alias("view")).agg(F.count("*").alias("n")).where("n > 1")
+    left = views.join(nodes.select("node", "bands"), "node")
+    left = left.select("node", "view", F.slice("bands", F.col("view") * BANDS + 1, F.lit(BANDS)).alias("bands"))
     firsts = F.sequence(F.lit(0), F.lit(BANDS - 2))
 
     def key(i, b, j):
-        return F.xxhash64(F.get("bands", i), b, i).bitwiseAND(F.lit(-256)).bitwiseOR((i * BANDS + i + 1 + j).cast("long"))
+        low, high = i, i + 1 + j
+        code = F.when(F.col("view") == 0, low * BANDS + high).otherwise(high * BANDS + low)
+        return F.xxhash64(F.get("bands", i), b, i).bitwiseAND(F.lit(-256)).bitwiseOR(code.cast("long"))
 
     keys = F.flatten(F.transform(firsts, lambda i: F.transform(F.slice("bands", i + 2, F.lit(BANDS)), lambda b, j: key(i, b, j))))
     return left.select("node", F.explode(keys).alias("key"))
@@ -609,8 +660,8 @@ def _open_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, class_id, class_size, kept.
 
-    Documents are linked when the weighted Jaccard similarity of their shingles of five lower-cased
-    words, weighted by term frequency and inverse document frequency, is at least 0.8; a class is a
+    Documents are linked when the Jaccard similarity of their shingles of five lower-cased words is at
+    least 0.8, weighted by term frequency and inverse document frequency or plain; a class is a
     connected component and its id its smallest doc_id, which stays. Texts of equal words are one
     node of the graph, so copies are never paired. A text under five words is one shingle; null
     and empty texts are equal and linked with nothing else. Texts of any length are read whole, and
@@ -627,6 +678,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """near_duplicates with raw, the digest of a row's text."""
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return _searched(docs, id_col, text_col)
+
+
+def _searched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     packed = stretches(docs, id_col, text_col)
     n, size = packed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = (max(LEAST_PARTS, size // PART_BYTES) - 1).bit_length()
@@ -650,6 +706,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             same = (F.col("content") == F.col("wanted_content")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
             return rows.join(asked, same).drop("content", "wanted_content", "first_id", "doc_id").dropDuplicates(["node"])
 
+        @give_back_after
         def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 contents = [content_of(words(t.as_buffer().to_pybytes())) for t in batch.column(1)]

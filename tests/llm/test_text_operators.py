@@ -11,10 +11,11 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import line_dedup, media, near_dup, suffix_dedup, toxicity
+from graphloom.llm import common, line_dedup, media, near_dup, suffix_dedup, toxicity
 from graphloom.llm.common import cut
 
 SF = "/root/testdata/sf0.001"
@@ -228,6 +229,50 @@ def test_rare_shingles_weigh_by_their_own_frequency(spark):
     assert got == {i: min(i, 1000) for i, _ in rows}
 
 
+def test_near_copies_of_a_large_group_are_linked(spark):
+    """Copies make a text's shingles frequent, an edit's stay rare: by weights alone these near copies are under 0.8."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(140)]
+    edited = [[*base[:p], word(), *base[p + 1 : p + 60], word(), *base[p + 61 :]] for p in range(10, 70, 15)]
+    rows = [(i, " ".join(base)) for i in range(150)] + [(150 + i, " ".join(t)) for i, t in enumerate(edited)]
+    rows += [(i, " ".join(word() for _ in range(140))) for i in range(200, 400)]
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    seen = collections.Counter(g for _, t in rows for g in grams(t))
+    weight = {g: np.log((len(rows) + 1) / (n + 1)) + 1 for g, n in seen.items()}
+    one = grams(rows[0][1])
+    for _, t in rows[150:154]:
+        both, either = one & grams(t), one | grams(t)
+        assert len(both) / len(either) >= 0.85 and sum(weight[g] for g in both) / sum(weight[g] for g in either) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {i: 0 if i < 200 else i for i, _ in rows}
+
+
+def test_set_samples_agree_like_plain_jaccard():
+    h = near_dup._mix(np.arange(1, 1201, dtype=np.uint64))
+    s = near_dup.set_samples(np.concatenate([h[:1000], h[200:]]), np.array([0, 1000]), range(near_dup._SIG + near_dup.MORE))
+    assert abs((s[0] == s[1]).mean() - 800 / 1200) < 0.12
+
+
+def test_python_gets_small_batches_and_the_setting_stays(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    rows = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 2**20).alias("text")).mapInArrow(sizes, "n long")
+    with common.arrow_batches(spark, 2**22):
+        got = [r["n"] for r in rows.collect()]
+    assert sum(got) == 40 and max(got) <= 8 and spark.conf.get(key, None) == before
+
+
 def test_rows_that_share_an_id_are_texts_of_their_own(spark):
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
