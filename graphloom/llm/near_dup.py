@@ -380,9 +380,9 @@ def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 5 * _SIG) for i in (2, 3))
             weighted = (x[:, : 4 * _SIG] == y[:, : 4 * _SIG]).reshape(-1, _SIG, 4).all(2).mean(1)
             sets = (x[:, 4 * _SIG :] == y[:, 4 * _SIG :]).mean(1)
-            yield batch.select(["a", "b"]).filter(pa.array(np.maximum(weighted, sets) >= LEAST_AGREEMENT))
+            yield batch.select(["a", "b", "score"]).filter(pa.array(np.maximum(weighted, sets) >= LEAST_AGREEMENT))
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b", "score").mapInArrow(keep, "a long, b long, score long")
 
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -465,23 +465,37 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def _stars(buckets: DataFrame, total: int) -> DataFrame:
-    """Distinct (a, b): each member a of a bucket(key, node, score) with the bucket's pivot b.
+    """Distinct (a, b, score): each member a of a bucket(key, node, score) with the bucket's pivot b and the pivot's score.
 
     The pivot has the highest score, that is the most company over all its buckets: of copies
     that were edited from one text it is the text itself. One pair a row, never all pairs.
     """
     best = buckets.groupBy("key").agg(F.max(F.struct("score", -F.col("node"))).alias("p"), F.count("*").alias("n"))
-    pivots = cut(best.select("key", (-F.col("p.col2")).alias("b"), "n"), "near-pivots")
+    pivots = cut(best.select("key", (-F.col("p.col2")).alias("b"), F.col("p.score").alias("score"), "n"), "near-pivots")
     hot = heavy(pivots, "n", total).select("key")
-    pairs = join_hot(buckets.select("key", F.col("node").alias("a")), pivots.select("key", "b"), "key", hot, "a")
-    return pairs.where("a <> b").select("a", "b").distinct()
+    pairs = join_hot(buckets.select("key", F.col("node").alias("a")), pivots.select("key", "b", "score"), "key", hot, "a")
+    return pairs.where("a <> b").select("a", "b", "score").distinct()
+
+
+def _best_pivots(pairs: DataFrame) -> DataFrame:
+    """Of the pairs(a, b, score) the one with the highest score for each a."""
+    best = pairs.groupBy("a").agg(F.max(F.struct("score", -F.col("b"))).alias("p"))
+    return best.select("a", (-F.col("p.col2")).alias("b"))
+
+
+def _apart(pairs: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs(a, b) of nodes(node) in different components. Many may share a pivot b."""
+    known = cut(nodes.select("node").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "near-known")
+    left = pairs.select("a", "b").join(known.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), "a")
+    both = join_hot(left, known.select(F.col("node").alias("b"), F.col("comp").alias("comp_b")), "b", hot_ends(pairs, "b", pairs.count()), "a")
+    return both.where("comp_a <> comp_b").select("a", "b")
 
 
 def near_components(nodes: DataFrame, texts_of, documents: int) -> DataFrame:
     """(node, comp): what verified links connect among the nodes(node, sig, bands) that the bands bring together.
 
     Buckets are of both views, weights and sets. First every bucket's members are compared with its
-    pivot. Members of buckets that still hold several components meet again in buckets of two bands
+    pivot, each with its best one and, where it stays in another component, with all its pivots. Members of buckets that still hold several components meet again in buckets of two bands
     of a view at a time (texts of similarity 0.8 in a view share under two of its bands with
     probability 7e-4). There every pair across components is looked at;
     of those that agree, the texts of the FIRST best of each component are read, and if that links
@@ -497,11 +511,17 @@ def near_components(nodes: DataFrame, texts_of, documents: int) -> DataFrame:
     sigs = cut(nodes.join(scores.select("node"), "node", "left_semi").select("node", "sig"), "near-sigs")
     pairs = cut(agreeing(_stars(buckets, total), sigs), "near-pairs")
     texts = cut(texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()), "near-texts")
-    links = cut(verify(pairs, texts, documents), "near-verified")
+    # a member that its best pivot links needs no other pivot of the same component
+    first = cut(_best_pivots(pairs), "near-first")
+    links = cut(verify(first, texts, documents), "near-verified")
+    comps = components(links)
+    rest = cut(_apart(pairs, comps, sigs).join(first, ["a", "b"], "left_anti"), "near-rest")
+    if (more := cut(verify(rest, texts, documents), "near-verified")).limit(1).count():
+        links = links.unionByName(more)
+        comps = components(links, comps)
     free(texts, sizes, shared, scores)
-    compared = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    compared = first.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    comps = components(links)
     again = cut(_open_buckets(_two_band_buckets(_open_buckets(buckets, comps), nodes), comps), "near-open")
     texts = cut(texts_of(again.select("node").distinct()), "near-texts")
     more = cut(sign_more(texts, sigs, documents), "near-more")

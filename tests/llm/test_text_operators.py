@@ -253,6 +253,23 @@ def test_near_copies_of_a_large_group_are_linked(spark):
     assert got == {i: 0 if i < 200 else i for i, _ in rows}
 
 
+def test_a_member_that_its_best_pivot_links_is_read_once(spark, monkeypatch):
+    read, verify = [], near_dup.verify
+
+    def counted(pairs, *args, **kwargs):
+        read.append(pairs.count())
+        return verify(pairs, *args, **kwargs)
+
+    monkeypatch.setattr(near_dup, "verify", counted)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(300)]
+    rows = [(i, " ".join([*base[:p], word(), *base[p + 1 :]])) for i, p in enumerate(range(0, 300, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["class_id"] for r in near_dup.near_duplicates(docs).collect()} == {0}
+    assert sum(read) <= 1.5 * len(rows)
+
+
 def test_set_samples_agree_like_plain_jaccard():
     h = near_dup._mix(np.arange(1, 1201, dtype=np.uint64))
     s = near_dup.set_samples(np.concatenate([h[:1000], h[200:]]), np.array([0, 1000]), range(near_dup._SIG + near_dup.MORE))
