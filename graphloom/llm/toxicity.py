@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, table
+from graphloom.llm.common import cut, give_back_after, table
 
 #: At most about so many labelled rows train the lexicon and the score; a uniform sample if there are more.
 TRAIN_ROWS = 40_000
 #: A feature counts if so many toxic training texts have it and its log-odds reach LEAST_WEIGHT.
 LEAST_TEXTS, LEAST_WEIGHT = 3, 1.5
 THRESHOLD = 0.3
+#: A worker keeps what it found for at most so many tokens, and only until the end of a task: its memory adds to the executor's heap.
+CACHED = 60_000
 PREFIXES = (4, 5, 6)
 
 #: Symbols of the character model: 0 for everything between words, a-z, and 27 for other letters.
@@ -57,6 +59,7 @@ def _symbols(data: bytes) -> np.ndarray:
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of all character trigrams of all texts: SYMBOLS**3 numbers, whatever the corpus."""
 
+    @give_back_after
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
@@ -233,6 +236,11 @@ class ToxicityModel:
                 return True
         return False
 
+    def forget(self) -> None:
+        """Empty what is kept between texts; a worker keeps the model itself until another task needs the worker."""
+        self._cache.clear()
+        self._found.clear()
+
     def weight(self, feature: str, own: int | None = None) -> float:
         """The feature's log-odds; own: as if a training text with this label weren't there."""
         if (found := self.counts.get(feature)) is None:
@@ -258,7 +266,7 @@ class ToxicityModel:
             own = tuple(f for w in words if (f := tuple(x for x in features_of(w) if x in self.counts)))
             if own:
                 out.append(own)
-        if len(self._found) > 400_000:
+        if len(self._found) > CACHED:
             self._found.clear()
         self._found[token] = tuple(out)
         return self._found[token]
@@ -275,7 +283,7 @@ class ToxicityModel:
             if own is not None:
                 w = self.token_weight(token, own)
             elif (w := cache.get(token, -1.0)) < 0:
-                if len(cache) > 400_000:
+                if len(cache) > CACHED:
                     cache.clear()
                 w = cache[token] = self.token_weight(token)
             if w:
@@ -336,6 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model.toxic, model.clean = sizes[1], sizes[0]
     characters = model.characters
 
+    @give_back_after
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
         for batch in batches:
@@ -353,11 +362,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model.counts = {f: (p, m) for f, p, m in kept.collect()}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @give_back_after
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ys = batch.column(1).to_pylist()
             x = [shared.value.inputs(t, y) for t, y in zip(batch.column(0).to_pylist(), ys, strict=True)]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in x], pa.float64()) for i in range(3)), pa.array(ys, pa.int64())], names=["a", "b", "c", "y"])
+        shared.value.forget()
 
     data = np.array(sample.mapInArrow(inputs, "a double, b double, c double, y long").collect(), float)
     model.coefficients = _fit(data[:, :3], data[:, 3])
@@ -369,8 +380,13 @@ def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Col
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts], dtype=float)
+    @give_back_after
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series([shared.value.score(t) for t in texts], dtype=float)
+        finally:
+            shared.value.forget()
 
     return score(text)
 

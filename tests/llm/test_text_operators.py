@@ -397,6 +397,18 @@ def test_components(spark):
 # toxicity
 
 
+def test_what_a_model_keeps_is_bounded(monkeypatch):
+    model = toxicity.ToxicityModel(toxicity.CharacterModel(np.ones(toxicity.SYMBOLS**3, np.int64)), 10, 10, {"bad": (9, 0)}, (0.0, 1.0, 0.0, 0.0))
+    texts = [" ".join(f"word{i}x{j} bad" for j in range(50)) for i in range(40)]
+    scores = [model.score(t) for t in texts]
+    monkeypatch.setattr(toxicity, "CACHED", 100)
+    model.forget()
+    assert [model.score(t) for t in texts] == scores
+    assert len(model._cache) <= 101 and len(model._found) <= 101
+    model.forget()
+    assert not model._cache and not model._found
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(4)
