@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.common import cut, free, table
+from graphloom.llm.common import arrow_batches, cut, free, table
 from graphloom.llm.exact_dedup import drop_exact_copies
 from graphloom.llm.mixing import take_mix
-from graphloom.llm.near_dup import drop_near_duplicates
+from graphloom.llm.near_dup import BATCH_BYTES, drop_near_duplicates
 from graphloom.llm.packing import pack
 from graphloom.llm.toxicity import drop_toxic
 
@@ -60,8 +60,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     an empty result; each stage's operator states how it treats them.
     """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        kept = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        free(docs)
-        docs = kept
+    with arrow_batches(spark, BATCH_BYTES):
+        for name, stage in STAGES[:-1]:
+            kept = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            free(docs)
+            docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,10 @@ BATCH_BYTES = 2**23
 MORE, LEAST_AGREEMENT_ALL = 128, 0.7
 #: Members of a bucket that are compared with each other, or with as many others, in one task.
 BLOCK = 4_096
-#: Of the members of one component that agree with a text, the texts of so many are read first, and all the others only if these don't link it.
-FIRST = 8
+#: Given to _across_components: of the pairs that agree only those leave a task that first connect two members there.
+FIRST = 1
+#: Texts that agree are read in blocks of about so many, of which a cluster has MOST_EVEN at most unless they pass so many bytes.
+READ_BLOCK, MOST_EVEN, READ_BYTES = 256, 16, 2**23
 #: Of each view, weights and sets: bytes of a text's samples, once more samples are drawn, and of 32 bits of each band's key.
 _WIDTH, _OWN = _SIG + MORE, 4 * BANDS
 
@@ -282,14 +284,14 @@ def set_samples(h: np.ndarray, starts: np.ndarray, ks: range = range(_SIG)) -> n
 
 
 def band_keys(sig: np.ndarray, view: int = 0) -> np.ndarray:
-    """A key for each band; the last bit tells the view: 0 for weights, 1 for sets."""
-    x = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    keys = _mix((x * _ODD[:ROWS]).sum(1, dtype=np.uint64) + np.arange(view * BANDS, (view + 1) * BANDS, dtype=np.uint64) * _ODD[60])
+    """A key for each band of one text's samples or of each row's; the last bit tells the view: 0 for weights, 1 for sets."""
+    x = sig.reshape(*sig.shape[:-1], BANDS, ROWS).astype(np.uint64)
+    keys = _mix((x * _ODD[:ROWS]).sum(-1, dtype=np.uint64) + np.arange(view * BANDS, (view + 1) * BANDS, dtype=np.uint64) * _ODD[60])
     return keys & ~np.uint64(1) | np.uint64(view)
 
 
 def both_keys(weighted: np.ndarray, sets: np.ndarray) -> np.ndarray:
-    return np.concatenate([band_keys(weighted), band_keys(sets, 1)])
+    return np.concatenate([band_keys(weighted), band_keys(sets, 1)], axis=-1)
 
 
 def sign(asked: DataFrame, documents: int) -> DataFrame:
@@ -311,22 +313,23 @@ def sign(asked: DataFrame, documents: int) -> DataFrame:
         df = np.split(frequencies[at], np.cumsum(lengths)[:-1])
         sigs: list[bytes | None] = [None] * len(found)
         bands: list[np.ndarray | None] = [None] * len(found)
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        held: list[int] = []
         size = 0
 
         def flush() -> None:
             if held:
-                starts = np.cumsum([0] + [len(x[1]) for x in held[:-1]])
-                h = np.concatenate([x[1] for x in held])
-                drawn = samples(h, np.concatenate([x[2] for x in held]), starts)
-                for (i, _, _), weighted, sets in zip(held, drawn, set_samples(h, starts), strict=True):
-                    sigs[i] = weighted.tobytes() + sets.astype(np.uint8).tobytes()
-                    bands[i] = both_keys(weighted, sets).view(np.int64)
+                starts = np.cumsum([0] + [lengths[i] for i in held[:-1]])
+                h, tf = (np.concatenate([found[i][k] for i in held]) for k in (0, 1))
+                drawn = samples(h, tf * idf_of(np.concatenate([df[i] for i in held]), documents), starts)
+                sets = set_samples(h, starts)
+                for i, weighted, few, keys in zip(held, drawn, sets.astype(np.uint8), both_keys(drawn, sets).view(np.int64), strict=True):
+                    sigs[i] = weighted.tobytes() + few.tobytes()
+                    bands[i] = keys
             held.clear()
 
-        for i, (h, tf) in enumerate(found):
+        for i, (h, _) in enumerate(found):
             if len(h):
-                held.append((i, h, tf * idf_of(df[i], documents)))
+                held.append(i)
                 size += len(h)
                 if size >= _CHUNK:
                     flush()
@@ -497,9 +500,9 @@ def near_components(nodes: DataFrame, texts_of, documents: int) -> DataFrame:
     Buckets are of both views, weights and sets. First every bucket's members are compared with its
     pivot, each with its best one and, where it stays in another component, with all its pivots. Members of buckets that still hold several components meet again in buckets of two bands
     of a view at a time (texts of similarity 0.8 in a view share under two of its bands with
-    probability 7e-4). There every pair across components is looked at;
-    of those that agree, the texts of the FIRST best of each component are read, and if that links
-    a text no other of that component needs to be. What is still apart is read in full afterwards.
+    probability 7e-4). There every pair across components is looked at by its samples. What agrees is
+    joined to clusters, for which a bucket gives fewer rows than it has members, and each cluster's
+    texts are read together, block by block: no table has a row for each pair that agrees.
     """
     keyed = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -513,30 +516,22 @@ def near_components(nodes: DataFrame, texts_of, documents: int) -> DataFrame:
     texts = cut(texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()), "near-texts")
     # a member that its best pivot links needs no other pivot of the same component
     first = cut(_best_pivots(pairs), "near-first")
-    links = cut(verify(first, texts, documents), "near-verified")
+    links = cut(verify(first, texts, documents).select("a", "b"), "near-verified")
     comps = components(links)
     rest = cut(_apart(pairs, comps, sigs).join(first, ["a", "b"], "left_anti"), "near-rest")
-    if (more := cut(verify(rest, texts, documents), "near-verified")).limit(1).count():
+    if (more := cut(verify(rest, texts, documents).select("a", "b"), "near-verified")).limit(1).count():
         links = links.unionByName(more)
         comps = components(links, comps)
     free(texts, sizes, shared, scores)
-    compared = first.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
     again = cut(_open_buckets(_two_band_buckets(_open_buckets(buckets, comps), nodes), comps), "near-open")
     texts = cut(texts_of(again.select("node").distinct()), "near-texts")
     more = cut(sign_more(texts, sigs, documents), "near-more")
-    for first in (FIRST, None):
-        found = cut(_across_components(again, more, first), "near-found")
-        fresh = cut(found.where("a is not null").select("a", "b").distinct().join(compared, ["a", "b"], "left_anti"), "near-fresh")
-        new = cut(verify(fresh, texts, documents), "near-fresh-links")
+    agree = cut(_across_components(again, more, FIRST).distinct(), "near-agree")
+    if agree.limit(1).count():
+        new = cut(_links_within(_clusters(agree), comps, more, texts, documents), "near-fresh-links")
         if new.limit(1).count():
-            links = links.unionByName(new)
-            comps = components(links, comps)
-        if first is None or not found.where("a is null").limit(1).count():
-            break
-        compared = compared.unionByName(fresh)
-        again = cut(_open_buckets(again, comps), "near-open")
-    free(texts, more, sigs, buckets, again)
+            comps = components(links.unionByName(new), comps)
+    free(texts, more, sigs, buckets, again, agree)
     return comps
 
 
@@ -568,7 +563,8 @@ def sign_more(texts: DataFrame, sigs: DataFrame, documents: int) -> DataFrame:
                     size = 0
             flush()
             first = [np.frombuffer(x.as_buffer(), np.uint32, _SIG) for x in batch.column(2)]
-            bands = [(both_keys(x, y[:_SIG]) >> np.uint64(1)).astype(np.uint32).tobytes() for x, y in zip(first, sets, strict=True)]
+            keys = both_keys(np.array(first).reshape(-1, _SIG), np.array(sets).reshape(-1, _WIDTH)[:, :_SIG])
+            bands = [x.tobytes() for x in (keys >> np.uint64(1)).astype(np.uint32)]
             sigs_ = [np.concatenate([x.astype(np.uint8), y, z.astype(np.uint8)]).tobytes() for x, y, z in zip(first, out, sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs_, pa.binary()), pa.array(bands, pa.binary())], names=["node", "sig", "own"])
 
@@ -581,14 +577,13 @@ def _across_components(open_: DataFrame, sigs: DataFrame, first: int | None) ->
     A bucket's members are dealt to blocks of about BLOCK, and every two blocks meet in a task of their
     own. Members outside the largest component there are compared with all members of other
     components, piece by piece, on 8 bits of each sample; only pairs that agree leave the task. With
-    ``first`` a member leaves with so many of a component's that agree best; a row of nulls tells
-    that it had more.
+    ``first`` only those of them do that first connect two members: fewer than the members, and what
+    all the pairs connect they connect too.
     """
     sizes = cut(open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")), "near-blocks")
     hot = heavy(sizes, "n", open_.count()).select("key")
     dealt = join_hot(open_, sizes.select("key", "blocks"), "key", hot, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = met.select("key", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    cells = _cells(dealt).select("key", "node", "comp", "own", "i", "j")
     signed = sigs.select("node", "sig", F.col("own").alias("keys"))
     two = F.col("key").bitwiseAND(F.lit(255))
     view = F.when(F.floor(two / BANDS) > two % BANDS, 1).otherwise(0)
@@ -596,58 +591,157 @@ def _across_components(open_: DataFrame, sigs: DataFrame, first: int | None) ->
     rows = cells.join(signed, "node").select("key", "i", "j", "node", "comp", "own", *parts)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
-    @give_back_after
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes, bytes]] = []
-        now = None
+    def compare(cell: list[int], held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        node, comp, block = (np.array([x[i] for x in held], np.int64) for i in (0, 1, 2))
+        sig = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), -1)
+        own = np.frombuffer(b"".join(x[4] for x in held), np.uint32).reshape(len(held), BANDS)
+        key, i, j = cell
+        two = sorted(divmod(key & 255, BANDS))
+        values, sizes_ = np.unique(comp, return_counts=True)
+        others = np.flatnonzero(comp != values[sizes_.argmax()])
+        main = np.ones(len(node), bool)
+        main[others] = False  # pairs of two others are found from both sides: keep one
+        known = Joined(len(node))
+        step = max(1, 100_000 // len(node))
+        for at in range(0, len(others), step):
+            o = others[at : at + step]
+            score = (sig[o][:, None, :] == sig[None, :, :]).mean(2)
+            agree = (score >= LEAST_AGREEMENT_ALL) & (comp[o][:, None] != comp[None, :]) & (main[None, :] | (node[o][:, None] < node[None, :]))
+            if i != j:
+                agree &= block[o][:, None] != block[None, :]
+            x, y = np.nonzero(agree)
+            # a pair leaves the bucket of the first two bands that it shares, and no other
+            shared = own[o[x]] == own[y]
+            before = shared[:, : two[1]].sum(1) - shared[:, two[0]]
+            x, y = o[x[before == 0]], y[before == 0]
+            if first is not None:
+                x, y = known.connecting(x, y)
+            if len(x):
+                a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(_by_cell(compare), "a long, b long")
+
+
+class Joined:
+    """Which of n members the pairs seen so far connect."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+        self.label = np.arange(n)
+
+    def top(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Connect two members; false if they were connected."""
+        i, j = self.top(i), self.top(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+    def connecting(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs that connect what was apart, the ones of the least members first; they count as seen."""
+        apart = self.label[x] != self.label[y]
+        x, y = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.array([self.join(i, j) for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
+        if len(new):
+            self.label = np.array([self.top(i) for i in range(len(self.up))])
+        return x[new], y[new]
+
+
+def _cells(dealt: DataFrame) -> DataFrame:
+    """The rows(own, blocks) once for each cell (i, j), i <= j, of two blocks of which one is their own."""
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            node, comp, block = (np.array([x[i] for x in held], np.int64) for i in (0, 1, 2))
-            sig = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), -1)
-            own = np.frombuffer(b"".join(x[4] for x in held), np.uint32).reshape(len(held), BANDS)
-            key, i, j = now
-            two = sorted(divmod(key & 255, BANDS))
-            values, sizes_ = np.unique(comp, return_counts=True)
-            others = np.flatnonzero(comp != values[sizes_.argmax()])
-            main = np.ones(len(node), bool)
-            main[others] = False  # pairs of two others are found from both sides: keep one
-            step = max(1, 100_000 // len(node))
-            for at in range(0, len(others), step):
-                o = others[at : at + step]
-                score = (sig[o][:, None, :] == sig[None, :, :]).mean(2)
-                agree = (score >= LEAST_AGREEMENT_ALL) & (comp[o][:, None] != comp[None, :]) & (main[None, :] | (node[o][:, None] < node[None, :]))
-                if i != j:
-                    agree &= block[o][:, None] != block[None, :]
-                x, y = np.nonzero(agree)
-                # a pair leaves the bucket of the first two bands that it shares, and no other
-                shared = own[o[x]] == own[y]
-                before = shared[:, : two[1]].sum(1) - shared[:, two[0]]
-                x, y = x[before == 0], y[before == 0]
-                a, b = node[o[x]].tolist(), node[y].tolist()
-                if first is not None and len(x):
-                    best = np.lexsort((-score[x, y], comp[y], x))
-                    start = np.append(True, (x[best][1:] != x[best][:-1]) | (comp[y][best][1:] != comp[y][best][:-1]))
-                    rank = np.arange(len(best)) - np.maximum.accumulate(np.where(start, np.arange(len(best)), 0))
-                    chosen = best[rank < first]
-                    a, b = node[o[x[chosen]]].tolist(), node[y[chosen]].tolist()
-                    if len(chosen) < len(best):
-                        a, b = [*a, None], [*b, None]
-                if a:
-                    low = [None if p is None else min(p, q) for p, q in zip(a, b, strict=True)]
-                    high = [None if p is None else max(p, q) for p, q in zip(a, b, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+def _by_cell(compare: Callable[[list[int], list[tuple]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function of batches sorted by their first three columns: compare() gets each cell of these and what else its rows have, if they are several."""
 
+    @give_back_after
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now: list[int] = []
         for batch in batches:
-            for *cell, node, comp, own, sig, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if cell != now:
+            for row in map(list, zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if row[:3] != now:
                     if len(held) > 1:
-                        yield from flush()
-                    held, now = [], cell
-                held.append((node, comp, own, sig, keys))
+                        yield from compare(now, held)
+                    held, now = [], row[:3]
+                held.append(tuple(row[3:]))
         if len(held) > 1:
-            yield from flush()
+            yield from compare(now, held)
+
+    return run
+
+
+def _clusters(pairs: DataFrame) -> DataFrame:
+    """(node, comp): as components(), with a step first after which only the least neighbours of nodes are left to connect."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("up")).select(F.col("a").alias("node"), F.least("a", "up").alias("up"))
+    least = cut(least, "near-least")
+    ends = [least.select(F.col("node").alias(x), F.col("up").alias(f"up_{x}")) for x in ("a", "b")]
+    links = pairs.join(ends[0], "a").join(ends[1], "b").select(F.col("up_a").alias("a"), F.col("up_b").alias("b")).distinct()
+    top = components(links).select(F.col("node").alias("up"), "comp")
+    return least.join(top, "up", "left").select("node", F.coalesce("comp", "up").alias("comp"))
 
-    return rows.mapInArrow(compare, "a long, b long")
+
+def _links_within(clusters: DataFrame, comps: DataFrame, sigs: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
+    """Links (a, b) that connect what all similar pairs of different components in a cluster(node, comp) connect.
+
+    A cluster's members are dealt to blocks, and every two blocks meet in a task of their own with their texts. The
+    texts of each pair that agrees by samples of either view are compared in full, unless links found before
+    connect them; so a task gives fewer links than it has members.
+    """
+    clusters = clusters.withColumnRenamed("comp", "cluster")
+    members = clusters.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    members = cut(members.join(texts.select("node", F.length("text").alias("size")), "node"), "near-members")
+    even = F.least(F.ceil(F.count("*") / READ_BLOCK), F.lit(MOST_EVEN))
+    blocks = F.greatest(even, F.ceil(F.sum("size") / READ_BYTES)).cast("int").alias("blocks")
+    sizes = cut(members.groupBy("cluster").agg(blocks, F.count("*").alias("n")), "near-blocks")
+    hot = heavy(sizes, "n", members.count()).select("cluster")
+    dealt = join_hot(members.drop("size"), sizes.select("cluster", "blocks"), "cluster", hot, "node")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = _cells(dealt).select("cluster", "i", "j", "node", "comp", "own")
+    rows = cells.join(sigs.select("node", "sig").join(texts.select("node", "text", "df"), "node"), "node").select("cluster", "i", "j", "node", "comp", "own", "sig", "text", "df")
+    rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+
+    def compare(cell: list[int], held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        node, comp, block = (np.array([x[i] for x in held], np.int64) for i in (0, 1, 2))
+        sig = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), 2, _WIDTH)
+        vectors: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        part = np.unique(comp, return_inverse=True)[1].tolist()
+        known = Joined(max(part) + 1)
+
+        def vector(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in vectors:
+                vectors[i] = vector_of(held[i][4], held[i][5], documents)
+            return vectors[i]
+
+        links = []
+        every = np.arange(len(node))
+        step = max(1, 100_000 // len(node))
+        for at in range(0, len(node), step):
+            o = every[at : at + step]
+            score = np.maximum(*((sig[o, v][:, None, :] == sig[None, :, v]).mean(2) for v in (0, 1)))
+            agree = (score >= LEAST_AGREEMENT_ALL) & (comp[o][:, None] != comp[None, :]) & (o[:, None] < every[None, :])
+            if cell[1] != cell[2]:
+                agree &= block[o][:, None] != block[None, :]
+            x, y = np.nonzero(agree)
+            best = np.argsort(-score[x, y], kind="stable")
+            for i, j in zip(o[x[best]].tolist(), y[best].tolist(), strict=True):
+                if known.top(part[i]) != known.top(part[j]) and similarity(vector(i), vector(j)) >= SIMILARITY:
+                    known.join(part[i], part[j])
+                    links.append((i, j))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(node[[x[k] for x in links]]) for k in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(_by_cell(compare), "a long, b long")
 
 
 def _two_band_buckets(open_: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -321,6 +321,45 @@ def test_templated_texts_by_brute_force(spark, monkeypatch):
     assert 1 < len(set(want.values())) < len(rows) and got == want
 
 
+def test_pairs_that_agree_and_are_no_links_make_no_rows_of_their_own(spark, monkeypatch):
+    """Texts of one template of a similarity under 0.8, in small blocks, and a few links among them that no bucket's pivot finds."""
+    monkeypatch.setattr(near_dup, "READ_BLOCK", 16)
+    read, verify, across = [], near_dup.verify, near_dup._across_components
+    sizes = {}
+    monkeypatch.setattr(near_dup, "verify", lambda pairs, *args: read.append(pairs.count()) or verify(pairs, *args))
+
+    def counted(open_, sigs, first):
+        sizes.update(members=open_.count(), every=across(open_, sigs, None).distinct().count(), leave=across(open_, sigs, first).count())
+        return across(open_, sigs, first)
+
+    monkeypatch.setattr(near_dup, "_across_components", counted)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    template = [word() for _ in range(400)]
+    # words of their own at the end: most pairs agree by samples and are under 0.8, some of those with fewer are over it
+    rows = [(i, " ".join([*template[: 400 - n], *[word() for _ in range(n)]])) for i, n in enumerate([46] * 90 + [38] * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = classes_by_hand(rows, docs)
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()} == want
+    assert sum(read) <= 8 * len(rows)
+    assert sizes["every"] > 2000 and sizes["leave"] < min(sizes["every"], sizes["members"]) and 1 < len(set(want.values()))
+
+
+def test_pairs_that_first_connect_members_connect_all():
+    rng = np.random.RandomState(3)
+    known, every = near_dup.Joined(300), near_dup.Joined(300)
+    left = 0
+    for _ in range(4):
+        x, y = rng.randint(0, 300, (2, 80))
+        a, b = known.connecting(x, y)
+        left += len(a)
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            every.join(i, j)
+        assert {(i, j) for i, j in zip(a, b, strict=True)} <= {(min(p), max(p)) for p in zip(x, y, strict=True)}
+    tops = [every.top(i) for i in range(300)]
+    assert known.label.tolist() == tops and left == 300 - len(set(tops))
+
+
 def test_blocks_find_every_pair_with_bounded_tasks(spark, monkeypatch):
     """One bucket of 2,000 members: all pairs that agree are found, from cells of about two blocks."""
     monkeypatch.setattr(near_dup, "BLOCK", 200)
