@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,6 +23,10 @@ LEAST_TEXTS, LEAST_WEIGHT = 3, 1.5
 THRESHOLD = 0.3
 #: A worker keeps what it found for at most so many tokens, and only until the end of a task: its memory adds to the executor's heap.
 CACHED = 60_000
+#: Of tokens without features, which are most, so many in each of two tables.
+CACHED_NONE = 120_000
+#: What a task keeps of words while it counts features: each has up to four texts.
+CACHED_WORDS = 30_000
 PREFIXES = (4, 5, 6)
 
 #: Symbols of the character model: 0 for everything between words, a-z, and 27 for other letters.
@@ -45,6 +50,7 @@ _INNER = re.compile(r"[\W\d_]|(.)\1\1")
 #: Letters and what stands for them on one letter, so that all readings of a token look alike; nothing else is kept.
 _LOOKS = str.maketrans({c: {"l": "i"}.get(x[0], x[0]) for c, x in (*LEET.items(), ("l", "l"))})
 _AGAIN = re.compile(r"(.)\1+")
+_LEET = frozenset(LEET)
 
 
 def _symbols(data: bytes) -> np.ndarray:
@@ -212,7 +218,10 @@ class ToxicityModel:
     coefficients: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0)
     _cache: dict[str, float] = field(default_factory=dict)
     _found: dict[str, tuple] = field(default_factory=dict)
+    _none: set[str] = field(default_factory=set)
+    _older: set[str] = field(default_factory=set)
     _looks: tuple[set[str], set[str]] | None = None
+    _starts: set[str] | None = None
 
     def may_matter(self, token: str) -> bool:
         """Whether some reading of a token can have a feature of the lexicon; only then it is decoded.
@@ -227,19 +236,20 @@ class ToxicityModel:
         if not bare or _INNER.search(bare):
             return True
         at = token.index(bare)
-        head, tail = ("".join(c for c in x if c in LEET) for x in (token[:at], token[at + len(bare) :]))
+        head, tail = ("".join(c for c in x if c in LEET) if x else "" for x in (token[:at], token[at + len(bare) :]))
         if len(set(head)) > 1 or len(set(tail)) > 1:
             return True
         whole, starts = self._looks
-        for v in {looks(head), looks(tail), *(looks(h + bare + t) for h in (head, "") for t in (tail, ""))}:
+        plain = looks(bare)
+        for v in {looks(head), looks(tail), plain, *(looks(h + bare + t) for h in (head, "") for t in (tail, ""))} if head or tail else (plain,):
             if v in whole or any(v[:n] in starts for n in range(1, PREFIXES[-1] + 1)):
                 return True
         return False
 
     def forget(self) -> None:
         """Empty what is kept between texts; a worker keeps the model itself until another task needs the worker."""
-        self._cache.clear()
-        self._found.clear()
+        for kept in (self._cache, self._found, self._none, self._older):
+            kept.clear()
 
     def weight(self, feature: str, own: int | None = None) -> float:
         """The feature's log-odds; own: as if a training text with this label weren't there."""
@@ -256,8 +266,38 @@ class ToxicityModel:
         """For each reading of a token and each of its words the features that the lexicon has; readings without any are left out."""
         if (known := self._found.get(token)) is not None:
             return known
+        if len(self._found) > CACHED:
+            self._found.clear()
+        self._found[token] = known = self._features(token)
+        return known
+
+    def telling(self, tokens: set[str]) -> list[str]:
+        """Those of the tokens that have features. Of the others two tables are kept: frequent ones come back from the older, which goes when the other is full."""
+        rest = tokens - self._none
+        again = rest & self._older
+        self._none |= again
+        out = []
+        for token in rest - again:
+            if token in self._found:
+                out.append(token)
+            elif found := self._features(token):
+                if len(self._found) > CACHED:
+                    self._found.clear()
+                self._found[token] = found
+                out.append(token)
+            else:
+                self._none.add(token)
+        if len(self._none) > CACHED_NONE:
+            self._older, self._none = self._none, set()
+        return out
+
+    def _features(self, token: str) -> tuple[tuple[tuple[str, ...], ...], ...]:
         bare = token.strip(_EDGE)
-        if bare and not _ODD.search(bare) and not any(c in LEET for c in token.replace(bare, "", 1)):
+        if bare and (bare == token or _LEET.isdisjoint(token.replace(bare, "", 1))) and not _ODD.search(bare):
+            if self._starts is None:
+                self._starts = {f[:-1] for f in self.counts if f[-1] == "*"}
+            if bare not in self.counts and not any([bare[:n] in self._starts for n in PREFIXES]):
+                return ()
             readings = [[bare]]
         else:
             readings = readings_of(token, self.characters) if self.may_matter(token) else []
@@ -266,10 +306,7 @@ class ToxicityModel:
             own = tuple(f for w in words if (f := tuple(x for x in features_of(w) if x in self.counts)))
             if own:
                 out.append(own)
-        if len(self._found) > CACHED:
-            self._found.clear()
-        self._found[token] = tuple(out)
-        return self._found[token]
+        return tuple(out)
 
     def token_weight(self, token: str, own: int | None = None) -> float:
         """The weight of the reading that says most."""
@@ -278,18 +315,17 @@ class ToxicityModel:
     def inputs(self, text: str | None, own: int | None = None) -> tuple[float, float, float]:
         """(sum and largest of the tokens' weights, log of the number of distinct tokens)."""
         tokens, cache = tokens_of(text or ""), self._cache
-        total = most = 0.0
-        for token in tokens:
+        weights = []
+        for token in self.telling(tokens):
             if own is not None:
                 w = self.token_weight(token, own)
             elif (w := cache.get(token, -1.0)) < 0:
                 if len(cache) > CACHED:
                     cache.clear()
                 w = cache[token] = self.token_weight(token)
-            if w:
-                total += w
-                most = max(most, w)
-        return total, most, math.log1p(len(tokens))
+            weights.append(w)
+        # the exact sum: whatever the order of a set, equal texts have equal scores
+        return math.fsum(weights), max(weights, default=0.0), math.log1p(len(tokens))
 
     def score(self, text: str | None) -> float:
         x = self.inputs(text)
@@ -346,15 +382,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     @give_back_after
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}
+        seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        known: dict[str, list[str]] = {}
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {f for t in tokens_of(text or "") for w in plain_words(t, characters) for f in features_of(w)}
-                for f in own:
-                    seen.setdefault(f, [0, 0])[1 - y] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))], names=["f", "pos", "neg"]
-        )
+                own: set[str] = set()
+                for t in tokens_of(text or ""):
+                    if (features := known.get(t)) is None:
+                        if len(known) >= CACHED_WORDS:
+                            known.clear()
+                        features = known[t] = [f for w in plain_words(t, characters) for f in features_of(w)]
+                    own.update(features)
+                seen[1 - y].update(own)
+        every = list(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[f] for f in every], pa.int64()) for c in seen)], names=["f", "pos", "neg"])
 
     counted = sample.mapInArrow(count, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = (F.col("pos") + 0.5) / (model.toxic + 1) / ((F.col("neg") + 0.5) / (model.clean + 1))

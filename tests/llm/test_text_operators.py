@@ -448,6 +448,22 @@ def test_what_a_model_keeps_is_bounded(monkeypatch):
     assert not model._cache and not model._found
 
 
+def test_tokens_without_features_are_looked_at_once(monkeypatch):
+    """Also when more of them come by than a table holds: frequent ones stay known, and scores don't depend on what is kept."""
+    model = toxicity.ToxicityModel(toxicity.CharacterModel(np.ones(toxicity.SYMBOLS**3, np.int64)), 10, 10, {"bad": (9, 0), "worse": (7, 1)}, (0.0, 1.0, 0.0, 0.0))
+    monkeypatch.setattr(toxicity, "CACHED_NONE", 100)
+    looked, look = collections.Counter(), toxicity.ToxicityModel._features
+    monkeypatch.setattr(toxicity.ToxicityModel, "_features", lambda self, token: looked.update([token]) or look(self, token))
+    frequent = [f"fre{i}quent" for i in range(30)]
+    texts = [" ".join([*frequent, *(f"word{i}x{j}" for j in range(40)), "bad", "worse"]) for i in range(30)]
+    scores = [model.score(t) for t in texts]
+    assert len(set(scores)) == 1 and scores[0] > 0.5
+    assert all(looked[w] == 1 for w in [*frequent, "bad"]) and max(looked.values()) == 1
+    assert len(model._none) <= 200 and len(model._older) <= 200
+    model.forget()
+    assert not model._none and not model._older and model.score(texts[-1]) == scores[0]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(4)
