@@ -115,6 +115,9 @@ def give_back_after(run: Callable) -> Callable:
 
     @wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
+        # modules, above all, that a worker has before its first task stay: no collection needs to look through them again
+        if not gc.get_freeze_count():
+            gc.freeze()
         try:
             yield from run(batches)
         finally:

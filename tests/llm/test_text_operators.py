@@ -1,6 +1,7 @@
 """Toxicity, near-duplicates, line and suffix dedup, media and the pipeline against brute force."""
 
 import collections
+import gc
 import hashlib
 import io
 import itertools
@@ -290,6 +291,19 @@ def test_python_gets_small_batches_and_the_setting_stays(spark):
     assert sum(got) == 40 and max(got) <= 8 and spark.conf.get(key, None) == before
 
 
+def test_collections_leave_out_what_a_worker_had_before():
+    def run(batches):
+        yield gc.get_freeze_count()
+        yield from batches
+
+    frozen = gc.get_freeze_count()
+    try:
+        assert next(common.give_back_after(run)(iter([]))) > 10_000
+    finally:
+        if not frozen:
+            gc.unfreeze()
+
+
 def test_rows_that_share_an_id_are_texts_of_their_own(spark):
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
